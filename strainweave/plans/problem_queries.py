@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strainweave.operators import orphans
+from strainweave.operators import orphans, timestamps
 from strainweave.plans.registry import query
 from strainweave.plans.tables import table
 
@@ -47,3 +48,22 @@ def p1_orphan_report(spark: SparkSession, folder: str) -> DataFrame:
     """References and orphans per table and month."""
     three = _three(spark, folder)
     return orphans.orphan_report(orphans.isolate_references(*three), orphans.isolate_orphans(*three))
+
+
+def _normalised(spark: SparkSession, folder: str) -> DataFrame:
+    zones = table(spark, folder, "facilities")
+    cols = ["row_id", "collection_date", "facility"]
+    both = table(spark, folder, "epi").select(F.lit("epi").alias("src_table"), *cols).unionByName(table(spark, folder, "isolate_payload").select(F.lit("isolate_payload").alias("src_table"), *cols))
+    return timestamps.normalise_timestamps(both, "collection_date", "facility", zones)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Every delivered collection date that can be read, in one form."""
+    return _normalised(spark, folder).filter("normalised is not null").select("src_table", "row_id", "normalised")
+
+
+@query("p4_pattern_report")
+def p4_pattern_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Values per table and pattern; pattern null: cannot be read."""
+    return _normalised(spark, folder).groupBy("src_table", "pattern").agg(F.count("*").alias("n_rows"), F.count_if(F.length("normalised") == 10).alias("n_days"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainweave.operators import orphans, timestamps
+from strainweave.operators import orphans, raw_records, timestamps
 from strainweave.plans.registry import query
 from strainweave.plans.tables import table
 
@@ -67,3 +67,21 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 def p4_pattern_report(spark: SparkSession, folder: str) -> DataFrame:
     """Values per table and pattern; pattern null: cannot be read."""
     return _normalised(spark, folder).groupBy("src_table", "pattern").agg(F.count("*").alias("n_rows"), F.count_if(F.length("normalised") == 10).alias("n_days"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that cannot be loaded, with the reason."""
+    return raw_records.reject_reasons(table(spark, folder, "raw_records"))
+
+
+@query("p5_clean_epi")
+def p5_clean_epi(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed rows of the valid kp_epi lines."""
+    return raw_records.clean_epi(table(spark, folder, "raw_records"))
+
+
+@query("p5_clean_distances")
+def p5_clean_distances(spark: SparkSession, folder: str) -> DataFrame:
+    """Typed cells of the valid kp_snp_matrix lines."""
+    return raw_records.clean_distances(table(spark, folder, "raw_records"))

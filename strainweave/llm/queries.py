@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainweave.llm import grouping
+from strainweave.llm import grouping, leakage, topn
 from strainweave.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,49 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_group_sizes(spark: SparkSession, folder: str) -> DataFrame:
     """Isolates per group."""
     return grouping.group_ids(table(spark, folder, "weighted_edges")).groupBy("group_id").agg(F.count("*").alias("n_isolates"))
+
+
+_TOP = f"""
+WITH c AS (SELECT cluster_id, {_TRIM.format('isolate_id')} AS isolate_id, max(transmission_risk_score) AS s FROM centrality_scores
+WHERE cluster_id IS NOT NULL AND cluster_id <> -1 AND transmission_risk_score IS NOT NULL AND NOT isnan(transmission_risk_score) AND {_TRIM.format('isolate_id')} IS NOT NULL GROUP BY ALL),
+r AS (SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, isolate_id) AS INT) AS rank_no, isolate_id, s FROM c)
+"""
+
+
+def _top(spark: SparkSession, folder: str, n: int) -> DataFrame:
+    rows = table(spark, folder, "centrality_scores").filter("cluster_id is not null and cluster_id <> -1")
+    return topn.top_items(rows, "cluster_id", "isolate_id", "transmission_risk_score", n)
+
+
+@query("p3_found", _TOP + "SELECT cluster_id, rank_no, isolate_id FROM r WHERE rank_no <= 5")
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The five isolates of highest risk in every cluster."""
+    return _top(spark, folder, 5).select("cluster_id", "rank_no", "isolate_id")
+
+
+@query("p3_top_20_scores", _TOP + "SELECT cluster_id, rank_no, isolate_id, s AS transmission_risk_score FROM r WHERE rank_no <= 20")
+def p3_top_20_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty isolates of highest risk in every cluster, with their scores."""
+    return _top(spark, folder, 20)
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a passage of an evaluation item."""
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "eval_id").distinct()
+
+
+@query("p6_passages")
+def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """The longest leaked passage of each document and item, as it stands in the text."""
+    docs = table(spark, folder, "documents")
+    hits = leakage.find_leaks(docs, table(spark, folder, "eval_items"))
+    return hits.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "eval_id", "n_words", "start_at", "end_at", F.substring(F.col("text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")).alias("passage"))
+
+
+@query("p6_leaked_items")
+def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation items that leaked, with the documents that hold them."""
+    items = table(spark, folder, "eval_items")
+    n = leakage.find_leaks(table(spark, folder, "documents"), items).groupBy("eval_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_run"))
+    return items.select("eval_id", "split_name", "lang").join(n, "eval_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strainweave.llm import grouping, leakage, topn
+from strainweave.llm import chunking, grouping, leakage, mixing, topn
 from strainweave.plans.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,21 @@ def p6_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     items = table(spark, folder, "eval_items")
     n = leakage.find_leaks(table(spark, folder, "documents"), items).groupBy("eval_id").agg(F.countDistinct("doc_id").alias("n_documents"), F.max("n_words").alias("longest_run"))
     return items.select("eval_id", "split_name", "lang").join(n, "eval_id")
+
+
+@query("p7_mixture")
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The mixture of documents, in global random order."""
+    return mixing.mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p7_shares")
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The share that each source reaches in the mixture."""
+    return mixing.shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+@query("p8_pieces")
+def p8_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """Pieces of at most 512 tokens of every longer document."""
+    return chunking.split_texts(table(spark, folder, "documents"))

@@ -128,7 +128,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, block_chars: in
     """(doc_id, eval_id, n_words, start_at, end_at): the longest run that a document shares with an item.
 
     A leak is a run of `run` consecutive words, or the whole item where it has fewer. start_at and end_at are code point
-    offsets of the document's text. Null and wordless texts leak nothing; an item without words is no pattern; repeated
+    offsets of the document's text. Null and wordless texts leak nothing; an item without an id or words is no pattern; repeated
     rows come out as often as they go in. The items, a fixed evaluation set, are broadcast in blocks of at most
     block_chars characters (their sum is checked first); the documents are never gathered.
     """
@@ -137,8 +137,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, block_chars: in
     blocks = int(total // block_chars) + 1
     out = None
     for b in range(blocks):
-        block = items.filter(F.col("text").isNotNull() & (F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b)).select("eval_id", "text")
+        block = items.filter(F.col("text").isNotNull() & F.col("eval_id").isNotNull() & (F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b)).select("eval_id", "text")
         shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": [(r.eval_id, r.text) for r in block.collect()]})
-        hits = docs.select("doc_id", "text").filter("text is not null").mapInPandas(_scanner(shared, run), "doc_id bigint, eval_id bigint, n_words int, start_at int, end_at int")
+        hits = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInPandas(_scanner(shared, run), "doc_id string, eval_id bigint, n_words int, start_at int, end_at int")
+        hits = hits.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # as text on the way: nulls would make it a float
         out = hits if out is None else out.unionByName(hits)
     return out

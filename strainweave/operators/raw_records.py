@@ -24,6 +24,9 @@ RULES = [
     ("kp_epi", "collection_date", "day", "value"),
 ]
 
+#: Columns of the delivered lines that are read; further ones are left out.
+COLUMNS = ["record_id", "file_name", "file_kind", "line_no", "sep", "line"]
+
 _NUMBER = r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
@@ -46,8 +49,8 @@ def _unquote(field: Column) -> Column:
 
 
 def tokenise(raw: DataFrame) -> DataFrame:
-    """raw with `fields` (trimmed texts of its cells) and `well_quoted`. Null lines count as blank."""
-    d = raw.withColumn("line", F.coalesce(_line(F.col("line")), F.lit("")))
+    """The columns of COLUMNS that raw has, with `fields` (trimmed texts of the cells) and `well_quoted`. Null lines count as blank."""
+    d = raw.select(*[c for c in COLUMNS if c in raw.columns]).withColumn("line", F.coalesce(_line(F.col("line")), F.lit("")))
     d = d.select("*", F.explode(F.array(_tokens(F.col("line"), F.col("sep")))).alias("__tokens"))
     covered = F.aggregate("__tokens", F.lit(0), lambda n, t: n + F.length(t)) + F.size("__tokens") * F.length("sep")
     return d.withColumn("well_quoted", covered == F.length("line") + F.length("sep")).withColumn("fields", F.transform("__tokens", lambda t: strip(_unquote(t)))).drop("__tokens")

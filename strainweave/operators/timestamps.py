@@ -78,8 +78,10 @@ def normalise_timestamps(df: DataFrame, value: str, source: str, zones: DataFram
 
     A calendar day gives yyyy-MM-dd, a time the UTC instant with microseconds, further digits cut off. zones gives the
     default zone of a source (names trimmed, any case; of repeated names the first zone); sources that are null,
-    unknown or have no valid zone take UTC. Null, blank, and impossible values give null. df's own columns stay.
+    unknown or have no valid zone take UTC. Null, blank, and impossible values give null. df's own columns stay, but
+    for `normalised` and `pattern`, which are replaced.
     """
+    df = df.drop("normalised", "pattern")
     lookup = zones.select(clean_name(F.col(zone_source)).alias("__source"), strip(F.col(zone)).alias("__zone")).filter(F.col("__source").isNotNull() & _valid_zone(F.col("__zone"))).groupBy("__source").agg(F.min("__zone").alias("__zone"))
     v = F.col("__v")
     d = df.withColumn("__v", strip(F.col(value))).withColumn("__source", clean_name(F.col(source))).join(lookup, "__source", "left")

@@ -1,0 +1,62 @@
+"""Synthetic outbreaks from hashed columns, the same on any number of partitions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+# Fixed values of the simulated hospitals.
+WARDS = ["NICU_A", "NICU_B", "MAT", "PED", "ICU"]
+FACILITIES = ["Hospital_1", "Hospital_2"]
+
+
+def _u(seed: int, what: str, *keys) -> Column:
+    """A hashed number in [0, 1)."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(what), *keys), F.lit(1 << 40)).cast("double") / float(1 << 40)
+
+
+def _pick(u: Column, n: int) -> Column:
+    return F.floor(u * n).cast("int")
+
+
+def simulate_isolates(spark: SparkSession, n: int = 28, clusters: int = 4, base: str = "2024-01-15", span_days: int = 90, seed: int = 42) -> DataFrame:
+    """(isolate_id, true_cluster, collection_date, facility, ward, sequence_type). Balanced clusters within three weeks; a tenth of the wards and a twentieth of the types are noise."""
+    i = F.col("id")
+    d = spark.range(n).withColumn("true_cluster", F.pmod(i, F.lit(clusters)).cast("int"))
+    start = _pick(_u(seed, "start", F.col("true_cluster")), max(span_days - 30, 1))
+    ward = F.array(*[F.lit(w) for w in WARDS])
+    own = F.get(ward, F.pmod("true_cluster", F.lit(len(WARDS))))
+    return d.select(
+        F.concat(F.lit("KP2024_"), F.lpad((i + 1).cast("string"), 6, "0")).alias("isolate_id"),
+        "true_cluster",
+        F.date_add(F.lit(base).cast("date"), start + _pick(_u(seed, "day", i), 21)).alias("collection_date"),
+        F.get(F.array(*[F.lit(x) for x in FACILITIES]), _pick(_u(seed, "facility", i), 2)).alias("facility"),
+        F.when(_u(seed, "moved", i) < 0.1, F.get(ward, _pick(_u(seed, "ward", i), len(WARDS)))).otherwise(own).alias("ward"),
+        F.when(_u(seed, "odd", i) < 0.05, 40 + _pick(_u(seed, "type", i), 20)).otherwise(37 + F.col("true_cluster")).cast("string").alias("sequence_type"),
+    )
+
+
+def simulate_distances(spark: SparkSession, n: int = 28, clusters: int = 4, within: int = 8, between: int = 80, seed: int = 42) -> DataFrame:
+    """(src, dst, d) of the upper triangle of a simulated matrix; every cell follows from its number alone."""
+    row, col = F.call_function("div", F.col("id"), F.lit(n)), F.pmod(F.col("id"), F.lit(n))
+    name = lambda i: F.concat(F.lit("KP2024_"), F.lpad((i + 1).cast("string"), 6, "0"))
+    near, far = _pick(_u(seed, "near", F.col("id")), within + 1), between - 20 + _pick(_u(seed, "far", F.col("id")), 100)
+    d = F.when(F.pmod(row, F.lit(clusters)) == F.pmod(col, F.lit(clusters)), near).otherwise(far).cast("double")
+    return spark.range(n * n).filter(row < col).select(name(row).alias("src"), name(col).alias("dst"), d.alias("d"))
+
+
+def write_fixture(spark: SparkSession, folder: str, n: int = 28, clusters: int = 4, seed: int = 42) -> dict[str, str]:
+    """The outbreak as the files that the readers take: a square matrix, metadata, profiles and the truth."""
+    import os
+
+    os.makedirs(folder, exist_ok=True)
+    iso = simulate_isolates(spark, n, clusters, seed=seed).toPandas()
+    d = simulate_distances(spark, n, clusters, seed=seed).toPandas()
+    ids = iso["isolate_id"].tolist()
+    m = d.pivot(index="src", columns="dst", values="d").reindex(index=ids, columns=ids).fillna(0).astype(int)
+    paths = {k: os.path.join(folder, f"kp_{k}") for k in ("snp_matrix.tsv", "epi.csv", "mlst.csv", "truth.csv")}
+    (m + m.T).to_csv(paths["snp_matrix.tsv"], sep="\t")
+    iso[["isolate_id", "collection_date", "facility", "ward"]].to_csv(paths["epi.csv"], index=False)
+    iso.assign(ST="ST" + iso["sequence_type"])[["isolate_id", "ST"]].to_csv(paths["mlst.csv"], index=False)
+    iso[["isolate_id", "true_cluster"]].to_csv(paths["truth.csv"], index=False)
+    return paths

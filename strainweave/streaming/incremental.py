@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.query import StreamingQuery
 
 from strainweave.functions.ids import clean_id
 from strainweave.functions.labels import or_unknown, parse_day, sequence_type
@@ -38,28 +39,31 @@ def incremental_edges(new: DataFrame, known: DataFrame, snp_cutoff: float = 20,
     return e.select("source", "target", F.bround("d").cast("int").alias("snp_distance"), "day_delta", "mlst_mismatch", composite_weight(F.col("d"), F.col("day_delta"), F.col("mlst_mismatch"), snp_cutoff, day_cutoff).alias("composite_weight"))
 
 
-def replay_edges(spark: SparkSession, source: str, known: DataFrame, out: str, checkpoint: str, files_per_batch: int = 4) -> DataFrame:
-    """Streams all messages under source once and gives the edges to the isolates known at the start.
+def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpoint: str, snp_cutoff: float = 20, day_cutoff: int = 14, kind: str = "json", files_per_batch: int = 4, once: bool = False) -> StreamingQuery:
+    """Starts a job that takes message files from source and writes accepted isolates and their edges to out.
 
-    An isolate that a former batch has accepted is refused, by an anti-join against what was written; edges among new
-    isolates form when the later one names the earlier.
+    A batch's output lies under its number. An isolate that a batch before has accepted is refused, by an anti-join
+    against what those have written; edges among new isolates form when the later one names the earlier. once: ends
+    when all files that are there have been taken.
     """
-    stream = spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream = spark.readStream.schema(MESSAGE).format(kind).option("maxFilesPerTrigger", files_per_batch).load(source)
 
     def step(batch: DataFrame, number: int) -> None:
         before = known
-        for k in range(number):
-            try:
-                before = before.unionByName(spark.read.parquet(f"{out}/isolates/batch={k}").select(known.columns))
-            except Exception as e:  # a batch without new isolates has written no file
-                if "PATH_NOT_FOUND" not in str(e):
-                    raise
+        if number:
+            done = spark.read.schema(known.schema.add("batch", "long")).parquet(f"{out}/isolates").filter(F.col("batch") < number)
+            before = known.unionByName(done.drop("batch"))
         new = new_isolates(batch, before)
         new.select(known.columns).write.mode("overwrite").parquet(f"{out}/isolates/batch={number}")
-        incremental_edges(new, before).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+        incremental_edges(new, before, snp_cutoff, day_cutoff).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
 
-    job = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    job.awaitTermination()
+    job = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (job.trigger(availableNow=True) if once else job).start()
+
+
+def replay_edges(spark: SparkSession, source: str, known: DataFrame, out: str, checkpoint: str, kind: str = "parquet", files_per_batch: int = 4) -> DataFrame:
+    """The edges of all messages under source, taken once by the streaming job."""
+    follow(spark, source, known, out, checkpoint, kind=kind, files_per_batch=files_per_batch, once=True).awaitTermination()
     return spark.read.parquet(f"{out}/edges").drop("batch")
 
 

@@ -91,7 +91,7 @@ def close_sequences(seqs: DataFrame, most: int) -> DataFrame:
     bands = min(most + 1, size)
     cuts = [round(i * size / bands) for i in range(bands + 1)]
     parts = F.array(*[F.substring("seq", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(bands)])
-    banded = s.filter("not masked").select("isolate_id", "seq", F.posexplode(F.transform(parts, F.xxhash64)).alias("band", "value"))
+    banded = s.filter("not masked").select("isolate_id", "seq", F.posexplode(F.transform(parts, lambda x: F.xxhash64(x))).alias("band", "value"))
     side = lambda t, p, *k: t.select(*k, F.col("isolate_id").alias(p), F.col("seq").alias(f"{p}_seq"))
     plain = side(banded, "src", "band", "value").join(side(banded, "dst", "band", "value"), ["band", "value"]).filter("src < dst").dropDuplicates(["src", "dst"])
     m = s.filter("masked")

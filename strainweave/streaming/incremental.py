@@ -51,7 +51,7 @@ def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpo
     def step(batch: DataFrame, number: int) -> None:
         before = known
         if number:
-            done = spark.read.schema(known.schema.add("batch", "long")).parquet(f"{out}/isolates").filter(F.col("batch") < number)
+            done = spark.read.schema(T.StructType([*known.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/isolates").filter(F.col("batch") < number)
             before = known.unionByName(done.drop("batch"))
         new = new_isolates(batch, before)
         new.select(known.columns).write.mode("overwrite").parquet(f"{out}/isolates/batch={number}")

@@ -14,7 +14,7 @@ def spark():
     from strainweave.session import local_session
 
     s = local_session("tests", cpus=4, memory="4g")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     yield s
     s.stop()
 

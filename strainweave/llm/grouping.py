@@ -32,10 +32,8 @@ def _numbered(nodes: DataFrame) -> DataFrame:
 
 
 def _moves(edges: DataFrame, by: str, least: DataFrame, heavy_rows: int) -> DataFrame:
-    """edges with `m`, the minimum that `least` (columns by, m, n_edges) has for their end `by`, or null."""
-    few = cut(least.filter(F.col("n_edges") >= heavy_rows).orderBy(F.desc("n_edges"), by).limit(MAX_HEAVY).select(by, "m"), "heavy-nodes") if heavy_rows else None
-    if few is None:
-        return edges.join(least.select(by, "m"), by, "left")
+    """edges with `m`, the minimum that `least` (columns by, m, n_edges) has for their end `by`; at most MAX_HEAVY of them are broadcast."""
+    few = cut(least.filter(F.col("n_edges") >= heavy_rows).orderBy(F.desc("n_edges"), by).limit(MAX_HEAVY).select(by, "m"), "heavy-nodes")
     hot = edges.join(F.broadcast(few), by)
     cold = edges.join(F.broadcast(few.select(by)), by, "left_anti").join(least.select(by, "m"), by, "left")
     return hot.unionByName(cold)
@@ -73,6 +71,8 @@ def star_edges(edges: DataFrame, heavy_rows: int = HEAVY_ROWS, max_rounds: int =
     Every half round is written to the shared folder and the one before removed. Stops when a whole round changes nothing.
     """
     now = write_step(edges.select("lo", "hi"), "stars")
+    if not now.df.limit(1).count():
+        return now.df
     for k in range(max_rounds):
         total = 0
         for star in (large_star, small_star):

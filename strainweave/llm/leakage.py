@@ -22,8 +22,8 @@ _WORD = re.compile(r"[^\W_]+")
 # Characters that are removed (zero-width space and joiners, byte order mark, soft hyphen).
 _REMOVED = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0x00AD])
 
-#: Most characters of evaluation texts in one automaton; more texts are spread over several, each scanning the text once.
-BLOCK_CHARS = 20_000_000
+#: Most characters of evaluation texts in one automaton (about 100 MB a worker); more texts are spread over several, each scanning the text once.
+BLOCK_CHARS = 2_000_000
 
 
 def normal_text(text: str) -> str:

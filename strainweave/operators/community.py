@@ -46,7 +46,7 @@ def _move(nodes: DataFrame, sym: DataFrame, totals: DataFrame, rounds: int, salt
     return now.df.select("g", "node", "c"), moved_ever
 
 
-def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, rounds: int = 6, levels: int = 4) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, rounds: int = 4, levels: int = 4) -> DataFrame:
     """(g, node, community): community is the smallest node of each, a connected set.
 
     nodes (g, node), edges (g, src, dst, w) with w > 0, one row a pair; graphs (g, gamma), one row a graph, bounded by

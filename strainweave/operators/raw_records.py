@@ -71,13 +71,13 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def parse_records(raw: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
-    """The records of raw (neither header nor blank) with their cells, and the header of their file.
+    """The records of raw (neither header nor a line of spaces only) with their cells, and the header of their file.
 
     Files may be very unequal: headers of files with many lines are broadcast, others joined by a shuffle. A file
     without a header gives null header columns.
     """
     tokens = tokenise(raw)
-    body = tokens.filter((F.col("line_no") != 1) & (strip(F.col("line")) != ""))
+    body = tokens.filter((F.col("line_no") != 1) & (F.btrim("line", F.lit(" ")) != ""))  # a line of tabs has cells
     return lookup_join(body, headers(tokens), "file_name", heavy_keys(raw, "file_name", heavy_rows))
 
 

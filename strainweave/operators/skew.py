@@ -2,6 +2,10 @@
 
 The rows of a key that is heavy in `rows` never travel: their counterparts, at most MAX_HEAVY rows, are broadcast.
 All other keys go through an ordinary shuffle join.
+
+Loops need no such split: they read and write tables, so both sides of their joins are plain shuffles of scans, and
+adaptive execution splits a hot partition of such a join by itself. What it cannot split, a join whose other side comes
+out of an aggregation, goes through this module or is written first.
 """
 
 from __future__ import annotations

@@ -163,6 +163,12 @@ def betweenness(spark: SparkSession, folder: str) -> DataFrame:
     return centrality.path_centrality(arcs, iso.select(F.col("isolate_id").alias("node"))).withColumnRenamed("node", "isolate_id")
 
 
+@query("closeness")
+def closeness(spark: SparkSession, folder: str) -> DataFrame:
+    """Closeness in the temporal graph, direction ignored."""
+    return betweenness(spark, folder).select("isolate_id", "closeness")
+
+
 @query("compute_centrality")
 def compute_centrality(spark: SparkSession, folder: str) -> DataFrame:
     """The centrality table of the chain clusters."""
@@ -403,6 +409,27 @@ def hamming_close_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.close_words(_words(spark, folder), "vec_id", 15)
 
 
+_VECTORS = """vi AS (SELECT vec_id AS ord, DATE '2024-01-01' + CAST(vec_id * 37 % 90 AS INT) AS day, CASE WHEN vec_id % 17 = 0 THEN NULL ELSE CAST(label AS VARCHAR) END AS st, list_transform(embedding, lambda x: x >= 0) AS s FROM embeddings),
+vp AS (SELECT a.ord AS src, b.ord AS dst, len(list_filter(list_zip(a.s, b.s), lambda p: p[1] <> p[2])) AS d, abs(date_diff('day', a.day, b.day)) AS days, coalesce(a.st <> b.st, false) AS mm FROM vi a, vi b WHERE a.ord < b.ord)"""
+
+
+@query(
+    "edges_band_join",
+    q.with_(
+        _VECTORS,
+        "SELECT src, dst, CAST(d AS INT) AS snp_distance, CAST(days AS INT) AS day_delta, mm AS mlst_mismatch, round(CAST(0.4 AS DOUBLE) * (d::DOUBLE / 15) + CAST(0.4 AS DOUBLE) * (days::DOUBLE / 60) + CAST(0.2 AS DOUBLE) * (CASE WHEN mm THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS composite_weight FROM vp WHERE d <= 15 AND days <= 60",
+    ),
+)
+def edges_band_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Edges straight from sign patterns: pairs meet in bands of the pattern, then the days are compared."""
+    from strainweave.operators import graph
+
+    v = table(spark, folder, "embeddings")
+    iso = v.select(F.col("vec_id").alias("isolate_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") * 37 % 90).cast("int")).alias("collection_date"), F.when(F.col("vec_id") % 17 != 0, F.col("label").cast("string")).alias("sequence_type"))
+    pairs = hamming.close_words(v.select("vec_id", hamming.sign_word(F.col("embedding")).alias("word")), "vec_id", 15).select("src", "dst", F.col("distance").cast("double").alias("d"))
+    return graph.edges(pairs, iso, 15, 60).withColumn("composite_weight", F.round("composite_weight", 9))
+
+
 _NEW = f"""p1 AS (SELECT row_id, {q.clean('isolate_id')} AS isolate_id, {q.day('collection_date')} AS collection_date, {q.st('sequence_type')} AS sequence_type, snp_distances FROM isolate_payload),
 p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY isolate_id ORDER BY row_id) AS n FROM p1 WHERE isolate_id IS NOT NULL AND collection_date IS NOT NULL) WHERE n = 1 AND isolate_id NOT IN (SELECT isolate_id FROM known)),
 near AS (SELECT isolate_id AS source, collection_date AS sd, sequence_type AS ss, {q.clean('u.e.key')} AS target, u.e.value AS d FROM p2, unnest(map_entries(snp_distances)) AS u(e) WHERE u.e.value <= 20),
@@ -428,7 +455,8 @@ def incremental_edges(spark: SparkSession, folder: str) -> DataFrame:
     return incremental.incremental_edges(new, known).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
-@query("stream_replay")
+# where the messages are one file, they are one batch, and the stream gives what the batch query gives
+@query("stream_replay", q.with_(f"{q.ISO},\n{_KNOWN},\n{_NEW}", _NEW_EDGES))
 def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     """The same by a streaming job that takes the messages file by file."""
     out = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"

@@ -17,8 +17,7 @@ from strainweave.plans.tables import table
 @query("edges_theta_join", q.with_(q.EDGES, "SELECT src, dst, snp_distance, day_delta, mlst_mismatch, round(composite_weight, 9) AS composite_weight FROM edges"))
 def edges_theta_join(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs within 20 SNPs and 14 days, with their composite weight."""
-    e = graph.edges(views.distances(spark, folder), views.isolates(spark, folder), views.SNP_CUTOFF, views.DAY_CUTOFF)
-    return e.withColumn("composite_weight", F.round("composite_weight", 9))
+    return views.graph_tables(spark, folder)[1].withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 @query("mlst_left_join", q.with_(q.ISO, "SELECT isolate_id, collection_date, facility, ward, sequence_type FROM alliso"))
@@ -104,7 +103,7 @@ def vertex_strength(spark: SparkSession, folder: str) -> DataFrame:
 @query("similarity_weights", q.with_(q.EDGES, "SELECT src, dst, round(exp(-composite_weight), 9) AS similarity FROM edges"))
 def similarity_weights(spark: SparkSession, folder: str) -> DataFrame:
     """exp(-weight) of every edge."""
-    e = graph.edges(views.distances(spark, folder), views.isolates(spark, folder))
+    _, e = views.graph_tables(spark, folder)
     return e.select("src", "dst", F.round(F.exp(-F.col("composite_weight")), 9).alias("similarity"))
 
 

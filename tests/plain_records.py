@@ -56,7 +56,7 @@ def reasons(rows):
     head = {r["file_name"]: fields_of(cut(r), r["sep"]) for r in rows if r["line_no"] == 1}
     out = {}
     for r in rows:
-        if r["line_no"] == 1 or not cut(r).strip():
+        if r["line_no"] == 1 or not cut(r).strip(" "):
             continue
         h, f = head[r["file_name"]], fields_of(cut(r), r["sep"])
         if f is None:

@@ -43,7 +43,7 @@ def _boundary(text: str, at: int) -> str:
     return "W" if after.isspace() != before.isspace() else "c"
 
 
-def shadow_of(text: str, path: str) -> tuple[str, list[int]]:
+def shadow_of(text: str, path: str) -> tuple[str, np.ndarray]:
     """(one letter a token, offset in code points at which each token ends)."""
     encoding, lengths = tokens.load(path)
     raw = text.encode("utf-8", "replace")
@@ -53,7 +53,7 @@ def shadow_of(text: str, path: str) -> tuple[str, list[int]]:
     chars = np.cumsum(starts_char) - 1  # code points before each byte
     whole = starts_char[ends]
     offsets = chars[ends] + ~whole
-    return "".join(_boundary(text, int(o)) if w else "x" for o, w in zip(offsets, whole)), offsets.tolist()
+    return "".join(_boundary(text, int(o)) if w else "x" for o, w in zip(offsets, whole)), offsets.astype(np.int32)
 
 
 def shadows(text: Column, path: str) -> Column:

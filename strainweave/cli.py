@@ -96,14 +96,18 @@ def _report(a) -> int:
 
 def _serve(a) -> int:
     """Takes messages (JSON lines) that arrive in a folder until it is stopped."""
-    from strainweave.plans.pipeline import analyse
+    from strainweave.operators import community, graph
+    from strainweave.plans.shared import cut
     from strainweave.sources import readers
     from strainweave.streaming import incremental
 
     spark, c = _spark(), cfg.from_yaml(a.config)
     dist, iso = readers.load(spark, c.inputs.snp_matrix, c.inputs.epi_metadata, c.inputs.mlst_profiles)
-    known = analyse(dist, iso, c).isolates.select("isolate_id", "collection_date", "sequence_type")
-    incremental.follow(spark, a.messages, known, f"{c.output_dir}/stream", f"{c.output_dir}/stream-checkpoint", c.thresholds.snp_cutoff, c.thresholds.day_cutoff).awaitTermination()
+    t = c.thresholds
+    known = cut(iso.select("isolate_id", "collection_date", "sequence_type"), "known")
+    edges = cut(graph.edges(dist, known, t.snp_cutoff, t.day_cutoff, t.edge_weight_alpha, t.edge_weight_beta, t.edge_weight_gamma), "known-edges")
+    clusters = cut(community.leiden(known, edges, c.clustering.leiden_resolution).withColumnRenamed("community", "cluster"), "known-clusters")
+    incremental.follow(spark, a.messages, known, f"{c.output_dir}/stream", f"{c.output_dir}/stream-checkpoint", t.snp_cutoff, t.day_cutoff, known_edges=edges, known_clusters=clusters, threshold=c.streaming.alert_threshold).awaitTermination()
     return 0
 
 

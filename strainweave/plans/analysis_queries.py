@@ -474,4 +474,4 @@ def stream_updates(spark: SparkSession, folder: str) -> DataFrame:
     e = cut(graph.edges(views.distances(spark, folder), known), "known-edges")
     new = cut(incremental.new_isolates(table(spark, folder, "isolate_payload"), known), "new")
     before = community.leiden(known, e).withColumnRenamed("community", "cluster")
-    return incremental.updates(new, incremental.incremental_edges(new, known), e, before, known)
+    return incremental.updates(new, incremental.incremental_edges(new, known), e, before, known)[0]

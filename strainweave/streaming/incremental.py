@@ -14,6 +14,10 @@ from pyspark.sql.streaming.query import StreamingQuery
 from strainweave.functions.ids import clean_id
 from strainweave.functions.labels import or_unknown, parse_day, sequence_type
 from strainweave.functions.weights import composite_weight, st_mismatch
+from strainweave.operators.centrality import path_centrality
+from strainweave.operators.community import leiden
+from strainweave.operators.components import connected_components
+from strainweave.plans.shared import cut
 
 #: The messages' columns.
 MESSAGE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("isolate_id", T.StringType()), T.StructField("collection_date", T.StringType()), T.StructField("facility", T.StringType()), T.StructField("ward", T.StringType()), T.StructField("sequence_type", T.StringType()), T.StructField("snp_distances", T.MapType(T.StringType(), T.DoubleType())), T.StructField("received_at", T.TimestampNTZType())])
@@ -39,12 +43,13 @@ def incremental_edges(new: DataFrame, known: DataFrame, snp_cutoff: float = 20,
     return e.select("source", "target", F.bround("d").cast("int").alias("snp_distance"), "day_delta", "mlst_mismatch", composite_weight(F.col("d"), F.col("day_delta"), F.col("mlst_mismatch"), snp_cutoff, day_cutoff).alias("composite_weight"))
 
 
-def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpoint: str, snp_cutoff: float = 20, day_cutoff: int = 14, kind: str = "json", files_per_batch: int = 4, once: bool = False) -> StreamingQuery:
+def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpoint: str, snp_cutoff: float = 20, day_cutoff: int = 14, kind: str = "json", files_per_batch: int = 4, once: bool = False, known_edges: DataFrame | None = None, known_clusters: DataFrame | None = None, threshold: float = 0.7) -> StreamingQuery:
     """Starts a job that takes message files from source and writes accepted isolates and their edges to out.
 
     A batch's output lies under its number. An isolate that a batch before has accepted is refused, by an anti-join
     against what those have written; edges among new isolates form when the later one names the earlier. once: ends
-    when all files that are there have been taken.
+    when all files that are there have been taken. With known_edges (src, dst, composite_weight) and known_clusters
+    (isolate_id, cluster) every batch also clusters anew and writes updates, alerts and clusters.
     """
     stream = spark.readStream.schema(MESSAGE).format(kind).option("maxFilesPerTrigger", files_per_batch).load(source)
 
@@ -56,6 +61,17 @@ def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpo
         new = new_isolates(batch, before)
         new.select(known.columns).write.mode("overwrite").parquet(f"{out}/isolates/batch={number}")
         incremental_edges(new, before, snp_cutoff, day_cutoff).write.mode("overwrite").parquet(f"{out}/edges/batch={number}")
+        if known_edges is None or known_clusters is None:
+            return
+        ends = [F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "composite_weight"]
+        all_edges = spark.read.parquet(f"{out}/edges")
+        edges = all_edges.filter(F.col("batch") == number).drop("batch")
+        old = known_edges.select("src", "dst", "composite_weight").unionByName(all_edges.filter(F.col("batch") < number).select(*ends))
+        was = spark.read.parquet(f"{out}/clusters/batch={number - 1}") if number else known_clusters
+        update, clusters = updates(spark.read.schema(known.schema).parquet(f"{out}/isolates/batch={number}"), edges, old, was, before, threshold)
+        clusters.write.mode("overwrite").parquet(f"{out}/clusters/batch={number}")
+        update.write.mode("overwrite").parquet(f"{out}/updates/batch={number}")
+        alerts(spark.read.parquet(f"{out}/updates/batch={number}")).write.mode("overwrite").parquet(f"{out}/alerts/batch={number}")
 
     job = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (job.trigger(availableNow=True) if once else job).start()
@@ -67,27 +83,23 @@ def replay_edges(spark: SparkSession, source: str, known: DataFrame, out: str, c
     return spark.read.parquet(f"{out}/edges").drop("batch")
 
 
-def updates(new: DataFrame, edges: DataFrame, known_edges: DataFrame, known_clusters: DataFrame, iso: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(isolate_id, cluster, new_cluster_formed, centrality_score, transmission_alert) of every new isolate.
+def updates(new: DataFrame, edges: DataFrame, known_edges: DataFrame, known_clusters: DataFrame, iso: DataFrame, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(isolate_id, cluster, new_cluster_formed, centrality_score, transmission_alert) of every new isolate; and the clusters of all.
 
     All isolates are clustered anew with the new edges. A cluster is new if no cluster had its label before. The score
     is the isolate's betweenness over the largest of its component, without direction; 0 in a component without edges.
     """
-    from strainweave.operators.centrality import path_centrality
-    from strainweave.operators.community import leiden
-    from strainweave.operators.components import connected_components
-    from strainweave.plans.shared import cut
-
     e = cut(known_edges.select("src", "dst", "composite_weight").unionByName(edges.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "composite_weight")), "all-edges")
     everyone = cut(iso.select("isolate_id").union(new.select("isolate_id")).distinct(), "all-isolates")
-    label = leiden(everyone, e)
+    label = cut(leiden(everyone, e), "labels-of-all")
     between = path_centrality(e.select("src", "dst", F.col("composite_weight").alias("w")), everyone.select(F.col("isolate_id").alias("node")), directed=False)
     comp = connected_components(everyone.select(F.col("isolate_id").alias("node")), e)
     most = between.join(comp, "node").groupBy("component").agg(F.max("betweenness").alias("most"))
     score = between.join(comp, "node").join(most, "component").select(F.col("node").alias("isolate_id"), F.when(F.col("most") > 0, F.col("betweenness") / F.col("most")).otherwise(0.0).alias("centrality_score"))
     known = known_clusters.select(F.col("cluster").alias("community")).distinct().withColumn("was", F.lit(True))
     d = new.select("isolate_id").join(label, "isolate_id").join(score, "isolate_id").join(known, "community", "left")
-    return d.select("isolate_id", F.col("community").alias("cluster"), F.col("was").isNull().alias("new_cluster_formed"), "centrality_score", (F.col("centrality_score") >= threshold).alias("transmission_alert"))
+    update = d.select("isolate_id", F.col("community").alias("cluster"), F.col("was").isNull().alias("new_cluster_formed"), "centrality_score", (F.col("centrality_score") >= threshold).alias("transmission_alert"))
+    return update, label.select("isolate_id", F.col("community").alias("cluster"))
 
 
 def alerts(update: DataFrame) -> DataFrame:

@@ -104,13 +104,17 @@ def test_messages_as_a_stream(spark, tmp_path):
     write(tmp_path / "in/1.json", "\n".join([message(1, "C", "2020-01-05", {"A": 5.5, "B": 21, "Z": 1}), message(2, "A", "2020-01-05", {"B": 1}), message(3, "C", "2020-01-06", {"B": 1})]))
     os.utime(tmp_path / "in/1.json", (1, 1))
     write(tmp_path / "in/2.json", "\n".join([message(4, "D", "18/01/2020", {" C ": 2, "B": 3, "A": 1}, None), message(5, "C", "2020-01-06", {"B": 1}), message(6, "E", "?", {"A": 1})]))
-    e = incremental.replay_edges(spark, str(tmp_path / "in"), known, str(tmp_path / "out"), str(tmp_path / "cp"), kind="json", files_per_batch=1)
-    assert sorted((r.source, r.target, r.snp_distance, r.day_delta, r.mlst_mismatch) for r in e.collect()) == [("C", "A", 6, 4, True), ("D", "B", 3, 2, False), ("D", "C", 2, 13, False)]
-    new = spark.read.parquet(str(tmp_path / "out/isolates")).select("isolate_id", "collection_date", "sequence_type")
+    none = spark.createDataFrame([], "src string, dst string, composite_weight double")
     before = known.select("isolate_id", F.col("isolate_id").alias("cluster"))
-    u = {r.isolate_id: r for r in incremental.updates(new, e, spark.createDataFrame([], "src string, dst string, composite_weight double"), before, known).collect()}
-    assert u["C"].centrality_score == 1.0 and u["C"].transmission_alert and u["D"].centrality_score == 1.0
-    assert incremental.alerts(spark.createDataFrame(list(u.values()))).count() == 2
+    out = str(tmp_path / "out")
+    incremental.follow(spark, str(tmp_path / "in"), known, out, str(tmp_path / "cp"), files_per_batch=1, once=True, known_edges=none, known_clusters=before).awaitTermination()
+    e = spark.read.parquet(f"{out}/edges").drop("batch")
+    assert sorted((r.source, r.target, r.snp_distance, r.day_delta, r.mlst_mismatch) for r in e.collect()) == [("C", "A", 6, 4, True), ("D", "B", 3, 2, False), ("D", "C", 2, 13, False)]
+    u = {r.isolate_id: r for r in spark.read.parquet(f"{out}/updates").collect()}
+    assert (u["C"].centrality_score, u["C"].cluster, u["C"].new_cluster_formed, u["C"].transmission_alert) == (0.0, "A", False, False)
+    assert u["D"].centrality_score == 1.0 and u["D"].transmission_alert
+    assert [r.isolate_id for r in spark.read.parquet(f"{out}/alerts").collect()] == ["D"]
+    assert incremental.status(spark.read.parquet(f"{out}/isolates"), e, spark.read.parquet(f"{out}/clusters/batch=1")).first().n_edges == 3
 
 
 def test_entry_without_optional_package(spark, data, monkeypatch):

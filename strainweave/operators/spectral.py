@@ -3,7 +3,8 @@
 The normalised Laplacian falls into blocks, one a component, so its spectrum is the union of theirs. Every component is
 one cluster of the zero eigenspace; its own eigengap says into how many it falls, 1 included. Candidates k - 1, k and
 k + 1 are clustered by k-means on row-normalised eigenvectors, and the best Euclidean silhouette wins. Components larger
-than DENSE isolates are first cut into communities, which keeps every dense block bounded.
+than DENSE isolates are first cut into communities; a community beyond that bound stays one cluster, so no dense block
+exceeds it.
 """
 
 from __future__ import annotations
@@ -94,18 +95,24 @@ def _solve(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["isolate_id", "cluster", "k", "gap"])
 
 
-def _blocks(iso: DataFrame, edges: DataFrame, dense: int) -> DataFrame:
+def _blocks(edges: DataFrame, dense: int) -> tuple[DataFrame, DataFrame]:
+    """(src, dst, w, block) within blocks of at most dense isolates; and (isolate_id, cluster) of the communities beyond that."""
     e = cut(edges.select("src", "dst", "composite_weight"), "spectral-edges")
     comp = cut(connected_components(e.select(F.col("src").alias("node")), e), "spectral-components")
     big = cut(comp.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > dense).select("component"), "large")
     at = lambda t, end: t.select(F.col("node").alias(end), F.col("block").alias(f"b_{end}"))
     small = comp.join(big, "component", "left_anti").select("node", F.col("component").alias("block"))
+    whole = comp.limit(0).select(F.col("node").alias("isolate_id"), F.col("component").alias("cluster"))
     if big.limit(1).count():
         inside = comp.join(big, "component", "left_semi").select(F.col("node").alias("isolate_id"))
         part = e.join(inside.withColumnRenamed("isolate_id", "src"), "src", "left_semi")
-        small = small.unionByName(leiden(inside, part).select(F.col("isolate_id").alias("node"), F.concat(F.lit("c"), "community").alias("block")))
+        found = cut(leiden(inside, part), "cut")
+        fits = found.groupBy("community").agg(F.count("*").alias("n")).filter(F.col("n") <= dense)
+        small = small.unionByName(found.join(fits, "community", "left_semi").select(F.col("isolate_id").alias("node"), F.concat(F.lit("c"), "community").alias("block")))
+        whole = found.join(fits, "community", "left_anti").select("isolate_id", F.col("community").alias("cluster"))
     blocks = cut(small, "blocks")
-    return e.join(at(blocks, "src"), "src").join(at(blocks, "dst"), "dst").filter("b_src = b_dst").select("src", "dst", F.exp(-F.col("composite_weight")).alias("w"), F.col("b_src").alias("block"))
+    in_blocks = e.join(at(blocks, "src"), "src").join(at(blocks, "dst"), "dst").filter("b_src = b_dst").select("src", "dst", F.exp(-F.col("composite_weight")).alias("w"), F.col("b_src").alias("block"))
+    return in_blocks, whole
 
 
 def spectral(iso: DataFrame, edges: DataFrame, seed: int = 42, dense: int = DENSE, packs: int = 128) -> DataFrame:
@@ -113,7 +120,9 @@ def spectral(iso: DataFrame, edges: DataFrame, seed: int = 42, dense: int = DENS
 
     Isolates without edges are clusters of their own (k 1, gap 0).
     """
-    found = _blocks(iso, edges, dense).withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(lambda pdf: _solve(pdf, seed), "isolate_id string, cluster string, k int, gap double")
+    in_blocks, whole = _blocks(edges, dense)
+    found = in_blocks.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(lambda pdf: _solve(pdf, seed), "isolate_id string, cluster string, k int, gap double")
+    found = found.unionByName(whole.select("isolate_id", "cluster", F.lit(1).alias("k"), F.lit(0.0).alias("gap")))
     return iso.select("isolate_id").join(found, "isolate_id", "left").select("isolate_id", F.coalesce("cluster", "isolate_id").alias("cluster"), F.coalesce("k", F.lit(1)).alias("k"), F.coalesce("gap", F.lit(0.0)).alias("gap"))
 
 

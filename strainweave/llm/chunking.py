@@ -43,11 +43,14 @@ def _boundary(text: str, at: int) -> str:
     return "W" if after.isspace() != before.isspace() else "c"
 
 
-def shadow_of(text: str, path: str) -> tuple[str, np.ndarray]:
-    """(one letter a token, offset in code points at which each token ends)."""
+def shadow_of(text: str, path: str, limit: int) -> tuple[str | None, np.ndarray | None]:
+    """(one letter a token, offset in code points at which each token ends), or nulls for a text of up to limit tokens."""
     encoding, lengths = tokens.load(path)
+    ids = encoding.encode_ordinary(text)
+    if len(ids) <= limit:
+        return None, None
     raw = text.encode("utf-8", "replace")
-    ends = np.cumsum(lengths[encoding.encode_ordinary(text)])
+    ends = np.cumsum(lengths[ids])
     data = np.frombuffer(raw, dtype=np.uint8)
     starts_char = np.append((data & 0xC0) != 0x80, True)
     chars = np.cumsum(starts_char) - 1  # code points before each byte
@@ -56,13 +59,13 @@ def shadow_of(text: str, path: str) -> tuple[str, np.ndarray]:
     return "".join(_boundary(text, int(o)) if w else "x" for o, w in zip(offsets, whole)), offsets.astype(np.int32)
 
 
-def shadows(text: Column, path: str) -> Column:
-    """STRUCT(shadow, ends) of a text."""
+def shadows(text: Column, path: str, limit: int) -> Column:
+    """STRUCT(shadow, ends) of a text; both null where it needs no cut."""
 
     @F.pandas_udf("shadow string, ends array<int>")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([shadow_of(t, path) for t in texts], columns=["shadow", "ends"])
+            yield pd.DataFrame([shadow_of(t, path, limit) for t in texts], columns=["shadow", "ends"])
 
     return make(text)
 
@@ -91,7 +94,8 @@ def split_texts(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str
     """
     path = path or tokens.vocabulary()
     long = docs.select(doc_id, F.col(text).alias("text")).filter(F.octet_length("text") > limit)  # a token has a byte at least
-    s = long.withColumn("s", shadows(F.col("text"), path)).select(doc_id, "text", "s.shadow", "s.ends").filter(F.length("shadow") > limit)
+    # a generator of one element: the filter after it does not have the texts tokenized again
+    s = long.select(doc_id, "text", F.explode(F.array(shadows(F.col("text"), path, limit))).alias("s")).select(doc_id, "text", "s.shadow", "s.ends").filter("shadow is not null")
     pattern = F.when(F.contains("shadow", F.lit("x")), piece_pattern(limit, overlap, _SLACK)).otherwise(piece_pattern(limit, overlap))
     s = s.withColumn("sizes", F.transform(F.regexp_extract_all("shadow", pattern, F.lit(0)), F.length))
     # ends of the pieces in tokens: running sums of their sizes

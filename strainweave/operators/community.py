@@ -21,18 +21,17 @@ _EPS = 1e-12
 def _move(nodes: DataFrame, sym: DataFrame, totals: DataFrame, rounds: int, salt: int) -> tuple[DataFrame, int]:
     """(g, node, c) after local moving from singletons; and the number of nodes that ever moved."""
     now = write_step(nodes.select("g", "node", "k", F.col("node").alias("c")), "move")
+    # an edge of weight 0 to itself keeps a node's own community among its options
+    sym = cut(sym.unionByName(nodes.select("g", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"))), "move-pairs")
     moved_ever = 0
     for r in range(rounds):
         mass = now.df.groupBy("g", "c").agg(F.sum("k").alias("mass"))
         near = sym.join(now.df.select("g", F.col("node").alias("dst"), "c"), ["g", "dst"]).groupBy("g", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"))
-        own = now.df.select("g", "node", "k", F.col("c").alias("old"))
-        options = near.join(own, ["g", "node"], "right").select("g", "node", "k", "old", F.coalesce("c", "old").alias("c"), F.coalesce("w", F.lit(0.0)).alias("w"))
-        stay = own.select("g", "node", "k", "old", F.col("old").alias("c"), F.lit(0.0).alias("w"))
-        options = options.unionByName(stay).groupBy("g", "node", "k", "old", "c").agg(F.sum("w").alias("w"))
+        options = near.join(now.df.select("g", "node", "k", F.col("c").alias("old")), ["g", "node"])
         rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.try_divide(F.col("gamma") * F.col("k") * rest, F.col("two_m")), 12)
         scored = options.join(mass, ["g", "c"]).join(F.broadcast(totals), "g").select("g", "node", "k", "old", "c", F.coalesce(gain, F.lit(0.0)).alias("gain"))
-        best = scored.groupBy("g", "node", "k", "old").agg(F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("c"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("here"))
+        best = scored.groupBy("g", "node").agg(F.first("k").alias("k"), F.first("old").alias("old"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("c"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("here"))
         wants = F.col("best") > F.col("here") + _EPS
         turn = F.pmod(F.xxhash64(F.lit(salt + r), "g", "node"), F.lit(2)) == 0
         step = best.select("g", "node", "k", F.when(wants & turn, F.col("c")).otherwise(F.col("old")).alias("c"), wants.alias("wants"), (wants & turn).alias("moved"))

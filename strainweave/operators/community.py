@@ -9,7 +9,7 @@ is drawn at random, so results do not depend on partitioning.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strainweave.operators.components import connected_components
@@ -19,28 +19,34 @@ _EPS = 1e-12
 
 
 def _move(nodes: DataFrame, sym: DataFrame, totals: DataFrame, rounds: int, salt: int) -> tuple[DataFrame, int]:
-    """(g, node, c) after local moving from singletons; and the number of nodes that ever moved."""
+    """(g, node, c) after local moving from singletons; and the number of nodes that ever moved.
+
+    The strength of a pair's first end is joined once, and the mass of a community travels with the nodes in it, so a
+    round joins the pairs with one table only. Sums per node and community are combined before they shuffle.
+    """
     now = write_step(nodes.select("g", "node", "k", F.col("node").alias("c")), "move")
-    # an edge of weight 0 to itself keeps a node's own community among its options
-    sym = cut(sym.unionByName(nodes.select("g", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"))), "move-pairs")
+    # an edge of weight 0 to itself keeps a node's own community among its options, and marks it
+    own = nodes.select("g", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), "k")
+    pairs = cut(sym.join(nodes.select("g", F.col("node").alias("src"), "k"), ["g", "src"]).select("g", "src", "dst", "w", "k").unionByName(own), "move-pairs")
     moved_ever = 0
     for r in range(rounds):
         mass = now.df.groupBy("g", "c").agg(F.sum("k").alias("mass"))
-        near = sym.join(now.df.select("g", F.col("node").alias("dst"), "c"), ["g", "dst"]).groupBy("g", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"))
-        options = near.join(now.df.select("g", "node", "k", F.col("c").alias("old")), ["g", "node"])
-        rest = F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+        held = now.df.select("g", "c", F.col("node").alias("dst")).join(mass, ["g", "c"])
+        options = pairs.join(held, ["g", "dst"]).groupBy("g", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"), F.max(F.col("src") == F.col("dst")).alias("here"), F.first("k").alias("k"), F.first("mass").alias("mass"))
+        rest = F.col("mass") - F.when(F.col("here"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.try_divide(F.col("gamma") * F.col("k") * rest, F.col("two_m")), 12)
-        scored = options.join(mass, ["g", "c"]).join(F.broadcast(totals), "g").select("g", "node", "k", "old", "c", F.coalesce(gain, F.lit(0.0)).alias("gain"))
-        best = scored.groupBy("g", "node").agg(F.first("k").alias("k"), F.first("old").alias("old"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("c"), F.max("gain").alias("best"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("here"))
+        scored = options.join(F.broadcast(totals), "g").select("g", "node", "k", "c", "here", F.coalesce(gain, F.lit(0.0)).alias("gain"))
+        at_home = lambda c: F.max(F.when(F.col("here"), F.col(c)))
+        best = scored.groupBy("g", "node").agg(F.first("k").alias("k"), at_home("c").alias("old"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("c"), F.max("gain").alias("best"), at_home("gain").alias("here"))
         wants = F.col("best") > F.col("here") + _EPS
         turn = F.pmod(F.xxhash64(F.lit(salt + r), "g", "node"), F.lit(2)) == 0
         step = best.select("g", "node", "k", F.when(wants & turn, F.col("c")).otherwise(F.col("old")).alias("c"), wants.alias("wants"), (wants & turn).alias("moved"))
-        new = write_step(step, f"move-{r}")
+        seen = Observation()
+        new = write_step(step.observe(seen, F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")), f"move-{r}")
         now.drop()
         now = new
-        n = new.df.agg(F.count_if("wants").alias("w"), F.count_if("moved").alias("m")).first()
-        moved_ever += n["m"]
-        if not n["w"]:
+        moved_ever += seen.get["moved"]
+        if not seen.get["wants"]:
             break
     return now.df.select("g", "node", "c"), moved_ever
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strainweave.plans.shared import cut, write_step
@@ -22,11 +22,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         low = now.df.join(near, now.df["node"] == near["src"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = now.df.select(F.col("node").alias("label"), F.col("label").alias("root"))
         step = low.join(up, "label", "left").select("node", "old", F.least("label", "root").alias("label"))
-        new = write_step(step, f"labels-{k}")
+        seen = Observation()
+        new = write_step(step.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("moved")), f"labels-{k}")
         now.drop()
-        moved = new.df.filter("old <> label").limit(1).count()
         now = new
-        if not moved:
+        if not seen.get["moved"]:
             return now.df.select("node", F.col("label").alias("component"))
     raise RuntimeError("no fixpoint: max_rounds is too small")
 

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strainweave.plans.shared import cut
+
 #: Rows of one block of a query set.
 BLOCK = 1024
 
@@ -46,7 +48,10 @@ def search_words(rows: DataFrame, queries: DataFrame, node: str, most: int, mask
 
 
 def close_words(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
-    """(src, dst, distance) of all pairs within `most`, src < dst, exact: bands of the word that must agree somewhere."""
+    """(src, dst, distance) of all pairs of rows within `most`, src < dst, exact: bands of the word that must agree somewhere.
+
+    Every pair is a row of the result; where copies abound and pairs of classes are enough, close_classes is the form.
+    """
     bands = most + 1
     cuts = [round(i * bits / bands) for i in range(bands + 1)]
     value = lambda i: F.call_function("shiftright", F.call_function("shiftleft", F.col("word"), F.lit(64 - cuts[i + 1])), F.lit(64 - cuts[i + 1] + cuts[i]))
@@ -58,6 +63,18 @@ def close_words(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFr
     return d.filter(F.array_position(same, True) == F.col("band") + 1).select("src", "dst", "distance")
 
 
+def close_classes(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
+    """(src, dst, distance) of all pairs of classes of equal words within `most`, src < dst, and of the members of each class.
+
+    A class is named by its smallest node; every other member has one row (class, member, 0), so copies, however many,
+    are never expanded into pairs. Rows with a null word or node have none; repeated rows count once.
+    """
+    rows = rows.filter(F.col("word").isNotNull() & F.col(node).isNotNull()).select(node, "word")
+    classes = cut(rows.groupBy("word").agg(F.min(node).alias(node)), "classes")  # written: a word with very many rows is split in the join
+    members = rows.select(F.col(node).alias("dst"), "word").join(classes.select("word", F.col(node).alias("src")), "word").filter("dst > src").select("src", "dst", F.lit(0).alias("distance")).distinct()
+    return close_words(classes, node, most, bits).unionByName(members)
+
+
 def _mask(low: int, high: int) -> int:
     m = ((1 << high) - 1) ^ ((1 << low) - 1)
     return m - (1 << 64) if m >= 1 << 63 else m

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strainweave.functions.ids import clean_id
 from strainweave.functions.labels import or_unknown, sequence_type
-from strainweave.operators import bootstrap, centrality, chains, community, components, consensus, dag, forest, hamming, spectral, summary
+from strainweave.operators import bootstrap, centrality, chains, community, components, consensus, dag, forest, hamming, plane, spectral, summary
 from strainweave.plans import sql_parts as q
 from strainweave.plans import views
 from strainweave.plans.registry import query
@@ -403,10 +403,28 @@ def masked_hamming(spark: SparkSession, folder: str) -> DataFrame:
     return hamming.search_words(w, w.filter("vec_id % 50 = 0"), "vec_id", 20, masked=True)
 
 
-@query("hamming_close_pairs", q.with_(_WORDS, f"SELECT a.vec_id AS src, b.vec_id AS dst, {_DISTANCE.format('')} AS distance FROM w a, w b WHERE a.vec_id < b.vec_id AND {_DISTANCE.format('')} <= 15"))
+_CLASSES = _WORDS + """,
+cl AS (SELECT s, any_value(v) AS v, min(vec_id) AS vec_id FROM w GROUP BY s)"""
+
+
+@query(
+    "hamming_close_pairs",
+    q.with_(
+        _CLASSES,
+        f"""SELECT a.vec_id AS src, b.vec_id AS dst, {_DISTANCE.format('')} AS distance FROM cl a, cl b WHERE a.vec_id < b.vec_id AND {_DISTANCE.format('')} <= 15
+UNION ALL SELECT DISTINCT cl.vec_id, w.vec_id, 0 FROM w JOIN cl ON cl.s = w.s WHERE w.vec_id > cl.vec_id""",
+    ),
+)
 def hamming_close_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All pairs of sign patterns that differ in at most 15 places."""
-    return hamming.close_words(_words(spark, folder), "vec_id", 15)
+    """All pairs of distinct sign patterns that differ in at most 15 places, and the copies of each pattern."""
+    return hamming.close_classes(_words(spark, folder), "vec_id", 15)
+
+
+@query("terrain_points")
+def terrain_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Places in the plane by the distances of sign patterns."""
+    placed = plane.place_words(_words(spark, folder), "vec_id")
+    return placed.select("vec_id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 _VECTORS = """vi AS (SELECT vec_id AS ord, DATE '2024-01-01' + CAST(vec_id * 37 % 90 AS INT) AS day, CASE WHEN vec_id % 17 = 0 THEN NULL ELSE CAST(label AS VARCHAR) END AS st, list_transform(embedding, lambda x: x >= 0) AS s FROM embeddings),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strainweave.operators import bootstrap, centrality, chains, community, components, consensus, dag, forest, graph, hamming, ingest, spectral, summary
+from strainweave.operators import bootstrap, centrality, chains, community, components, consensus, dag, forest, graph, hamming, ingest, plane, spectral, summary
 
 ISO = "isolate_id string, collection_date date, facility string, ward string, sequence_type string"
 
@@ -232,6 +232,31 @@ def test_sequences(spark):
         assert {(r.src, r.dst): r.distance for r in hamming.close_words(df, "n", most).collect()} == {k: d for k, d in want.items() if d <= most}
 
 
+def test_copies_are_members_not_pairs(spark):
+    words = [(9, 5), (1, 5), (4, 5), (4, 5), (2, 7), (3, -1), (None, 5), (8, None), (6, 7)]
+    df = spark.createDataFrame([(*w, "b", 0) for w in words], "n long, word long, band string, distance int")
+    got = sorted(tuple(r) for r in hamming.close_classes(df, "n", 3).collect())
+    assert got == [(1, 2, 1), (1, 4, 0), (1, 9, 0), (2, 6, 0)]
+    assert hamming.close_classes(df.limit(0), "n", 3).count() == 0
+
+
+def test_places_as_classical_scaling(spark):
+    rng = random.Random(12)
+    words = [(i, rng.getrandbits(64) - 2**63) for i in range(20)]
+    df = spark.createDataFrame([*words, (100, words[3][1]), (None, words[4][1]), (101, None)], "n long, word long").withColumn("x", F.lit("clash"))
+    at = {r.n: (r.x, r.y) for r in plane.place_words(df, "n").collect() if r.n is not None}
+    assert set(at) == {*range(20), 100} and at[100] == at[3]
+    d = np.array([[bin((a ^ b) & (2**64 - 1)).count("1") for _, b in words] for _, a in words], dtype=float)
+    centre = np.eye(20) - 1 / 20
+    values, vectors = np.linalg.eigh(-0.5 * centre @ d**2 @ centre)
+    want = vectors[:, -2:] * np.sqrt(values[-2:])
+    between = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert np.allclose(between(np.array([at[i] for i in range(20)])), between(want), atol=1e-6)
+    assert len(plane.place_words(df, "n", landmarks=8).collect()) == 22
+    assert {(r.x, r.y) for r in plane.place_words(df.filter("n < 2"), "n").collect()} == {(0.0, 0.0)}
+    assert plane.place_words(df.limit(0), "n").count() == 0
+
+
 def test_ingest_edges(spark):
     snp = spark.createDataFrame([(1, " A", "B", 3.0), (2, "B", "A\t", 4.0), (3, "A", "A", 1.0), (4, None, "A", 1.0), (5, "A", "C", None), (6, "", "C", -1.0)], "row_id long, isolate_id string, dst string, d double")
     assert [tuple(r) for r in ingest.distances(snp).collect()] == [("A", "B", 3.5)]

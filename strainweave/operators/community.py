@@ -2,9 +2,11 @@
 
 The quality is the sum over pairs in one community of A_ij - gamma k_i k_j / 2m. In a round every node looks at the
 communities of its neighbours and takes the one of highest gain; of the nodes that want to move, those whose hash has
-the round's parity do, so two nodes do not just swap. When few rounds or no wishes are left, communities become nodes
-and the rounds go on. In the end every community is cut into its connected parts. Ties go to the smaller label; nothing
-is drawn at random, so results do not depend on partitioning.
+the round's parity do, so two nodes do not just swap. When the wishes stop getting fewer, only the best move of every
+community goes, which raises the quality each time, so the rounds end. When no node wants to move, communities become
+nodes and the rounds go on, until none wants to move at once. Then every community is cut into its connected parts; if
+any falls apart, the parts become nodes and the rounds go on. Ties go to the smaller label; nothing is drawn at random,
+so results do not depend on partitioning.
 """
 
 from __future__ import annotations
@@ -15,67 +17,103 @@ from pyspark.sql import functions as F
 from strainweave.operators.components import connected_components
 from strainweave.plans.shared import cut, write_step
 
-_EPS = 1e-12
+#: Least gain of a move; sums of weights in another order differ by less.
+_EPS = 1e-9
+#: Rounds without fewer wishes than ever before, after which only the best move of every community goes.
+_PATIENCE = 5
 
 
-def _move(nodes: DataFrame, sym: DataFrame, totals: DataFrame, rounds: int, salt: int) -> tuple[DataFrame, int]:
-    """(g, node, c) after local moving from singletons; and the number of nodes that ever moved.
+def _best_moves(best: DataFrame) -> DataFrame:
+    """(g, node) of the moves that are the best of both communities they touch; the best of all is among them."""
+    up = F.struct((F.col("best") - F.col("here")).alias("up"), "node")
+    touched = best.filter("wants").select("g", "node", up.alias("move"), F.explode(F.array("old", "c")).alias("at"))
+    top = touched.groupBy("g", "at").agg(F.max("move").alias("move"))
+    return top.groupBy("g", F.col("move.node").alias("node")).agg(F.count("*").alias("n")).filter("n = 2").select("g", "node")
+
+
+def _move(nodes: DataFrame, sym: DataFrame, totals: DataFrame, salt: int, calm: bool, max_rounds: int) -> tuple[DataFrame, int]:
+    """(g, node, c) after local moving from singletons until no node wants to; and how many moves there were.
 
     The strength of a pair's first end is joined once, and the mass of a community travels with the nodes in it, so a
-    round joins the pairs with one table only. Sums per node and community are combined before they shuffle.
+    round joins the pairs with one table only. Sums per node and community are combined before they shuffle. calm: only
+    the best move of every community, from the start.
     """
     now = write_step(nodes.select("g", "node", "k", F.col("node").alias("c")), "move")
     # an edge of weight 0 to itself keeps a node's own community among its options, and marks it
     own = nodes.select("g", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(0.0).alias("w"), "k")
-    pairs = cut(sym.join(nodes.select("g", F.col("node").alias("src"), "k"), ["g", "src"]).select("g", "src", "dst", "w", "k").unionByName(own), "move-pairs")
-    moved_ever = 0
-    for r in range(rounds):
+    pairs = write_step(sym.join(nodes.select("g", F.col("node").alias("src"), "k"), ["g", "src"]).select("g", "src", "dst", "w", "k").unionByName(own), "move-pairs")
+    moved_ever, fewest, waited = 0, None, 0
+    for r in range(max_rounds):
         mass = now.df.groupBy("g", "c").agg(F.sum("k").alias("mass"))
         held = now.df.select("g", "c", F.col("node").alias("dst")).join(mass, ["g", "c"])
-        options = pairs.join(held, ["g", "dst"]).groupBy("g", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"), F.max(F.col("src") == F.col("dst")).alias("here"), F.first("k").alias("k"), F.first("mass").alias("mass"))
+        options = pairs.df.join(held, ["g", "dst"]).groupBy("g", F.col("src").alias("node"), "c").agg(F.sum("w").alias("w"), F.max(F.col("src") == F.col("dst")).alias("here"), F.first("k").alias("k"), F.first("mass").alias("mass"))
         rest = F.col("mass") - F.when(F.col("here"), F.col("k")).otherwise(0.0)
         gain = F.round(F.col("w") - F.try_divide(F.col("gamma") * F.col("k") * rest, F.col("two_m")), 12)
         scored = options.join(F.broadcast(totals), "g").select("g", "node", "k", "c", "here", F.coalesce(gain, F.lit(0.0)).alias("gain"))
         at_home = lambda c: F.max(F.when(F.col("here"), F.col(c)))
         best = scored.groupBy("g", "node").agg(F.first("k").alias("k"), at_home("c").alias("old"), F.min_by("c", F.struct(-F.col("gain"), F.col("c"))).alias("c"), F.max("gain").alias("best"), at_home("gain").alias("here"))
-        wants = F.col("best") > F.col("here") + _EPS
-        turn = F.pmod(F.xxhash64(F.lit(salt + r), "g", "node"), F.lit(2)) == 0
-        step = best.select("g", "node", "k", F.when(wants & turn, F.col("c")).otherwise(F.col("old")).alias("c"), wants.alias("wants"), (wants & turn).alias("moved"))
+        best, tried = best.withColumn("wants", F.col("best") > F.col("here") + _EPS), None
+        if calm:
+            tried = write_step(best, f"move-best-{r}")
+            best = tried.df.join(_best_moves(tried.df).withColumn("goes", F.lit(True)), ["g", "node"], "left")
+            turn = F.coalesce("goes", F.lit(False))
+        else:
+            turn = F.pmod(F.xxhash64(F.lit(salt + r), "g", "node"), F.lit(2)) == 0
+        step = best.select("g", "node", "k", F.when(F.col("wants") & turn, F.col("c")).otherwise(F.col("old")).alias("c"), "wants", (F.col("wants") & turn).alias("moved"))
         seen = Observation()
         new = write_step(step.observe(seen, F.count_if("wants").alias("wants"), F.count_if("moved").alias("moved")), f"move-{r}")
-        now.drop()
+        for t in (now, tried):
+            if t:
+                t.drop()
         now = new
         moved_ever += seen.get["moved"]
-        if not seen.get["wants"]:
-            break
-    return now.df.select("g", "node", "c"), moved_ever
+        wants = seen.get["wants"]
+        if not wants:
+            pairs.drop()
+            return now.df.select("g", "node", "c"), moved_ever
+        fewest, waited = (wants, 0) if fewest is None or wants < fewest else (fewest, waited + 1)
+        calm = calm or waited >= _PATIENCE
+    raise RuntimeError("nodes still want to move: max_rounds is too small")
+
+
+def _merge(nodes: DataFrame, sym: DataFrame, found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes (g, node, k) and pairs (g, src, dst, w) of the graph whose nodes are the communities found (g, node, c)."""
+    merged = nodes.join(found, ["g", "node"]).groupBy("g", F.col("c").alias("node")).agg(F.sum("k").alias("k"))
+    a, b = found.select("g", F.col("node").alias("src"), F.col("c").alias("s2")), found.select("g", F.col("node").alias("dst"), F.col("c").alias("d2"))
+    between = sym.join(a, ["g", "src"]).join(b, ["g", "dst"]).filter("s2 <> d2").groupBy("g", F.col("s2").alias("src"), F.col("d2").alias("dst")).agg(F.sum("w").alias("w"))
+    return cut(merged, f"nodes-{name}"), cut(between, f"pairs-{name}")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, rounds: int = 4, levels: int = 4) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, max_rounds: int = 2000) -> DataFrame:
     """(g, node, community): community is the smallest node of each, a connected set.
 
     nodes (g, node), edges (g, src, dst, w) with w > 0, one row a pair; graphs (g, gamma), one row a graph, bounded by
-    its nature (resolutions or replicates). Nodes without edges stay alone.
+    its nature (resolutions or replicates). Nodes without edges stay alone. In the result neither a move of a whole
+    community to a neighbour raises the quality, nor does a cut into connected parts. max_rounds only guards: more than
+    that on one level, or more levels, is an error.
     """
     base = cut(edges.select("g", "src", "dst", "w").union(edges.select("g", "dst", "src", "w")), "pairs")
     strength = base.groupBy("g", "src").agg(F.sum("w").alias("k"))
     start = cut(nodes.select("g", "node").distinct().join(strength.withColumnRenamed("src", "node"), ["g", "node"], "left").select("g", "node", F.coalesce("k", F.lit(0.0)).alias("k")), "strengths")
     totals = cut(start.groupBy("g").agg(F.sum("k").alias("two_m")).join(graphs, "g"), "graphs")
-    member = start.filter("k > 0").select("g", "node", F.col("node").alias("c"))
-    level_nodes, sym = start.filter("k > 0"), base
-    for level in range(levels):
-        found, moved = _move(level_nodes, sym, totals, rounds, 1000 * level)
-        if not moved:
-            break
-        found = found.withColumnRenamed("c", "c2").withColumnRenamed("node", "c")
-        member = cut(member.join(found, ["g", "c"]).select("g", "node", F.col("c2").alias("c")), f"member-{level}")
-        level_nodes = cut(level_nodes.join(found.withColumnRenamed("c", "node"), ["g", "node"]).groupBy("g", "c2").agg(F.sum("k").alias("k")).withColumnRenamed("c2", "node"), f"nodes-{level}")
-        a, b = found.select("g", F.col("c").alias("src"), F.col("c2").alias("s2")), found.select("g", F.col("c").alias("dst"), F.col("c2").alias("d2"))
-        sym = cut(sym.join(a, ["g", "src"]).join(b, ["g", "dst"]).filter("s2 <> d2").groupBy("g", F.col("s2").alias("src"), F.col("d2").alias("dst")).agg(F.sum("w").alias("w")), f"pairs-{level}")
+    linked = start.filter("k > 0")
     name = lambda c: F.concat_ws("\u0001", F.col("g").cast("string"), c)
-    inside = base.filter("src < dst").join(member.select("g", F.col("node").alias("src"), F.col("c").alias("cs")), ["g", "src"]).join(member.select("g", F.col("node").alias("dst"), F.col("c").alias("cd")), ["g", "dst"]).filter("cs = cd").select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
-    parts = connected_components(start.select(name(F.col("node")).alias("node")), inside)
-    return start.select("g", "node", name(F.col("node")).alias("__key")).join(parts.select(F.col("node").alias("__key"), "component"), "__key").select("g", "node", F.element_at(F.split("component", "\u0001"), -1).alias("community"))
+    member = linked.select("g", "node", F.col("node").alias("c"))
+    level_nodes, sym, calm = linked, base, False
+    for level in range(max_rounds):
+        found, moved = _move(level_nodes, sym, totals, 1000 * level, calm, max_rounds)
+        if moved:
+            member = cut(member.withColumnRenamed("c", "at").join(found.select("g", F.col("node").alias("at"), "c"), ["g", "at"]).select("g", "node", "c"), f"member-{level}")
+            level_nodes, sym = _merge(level_nodes, sym, found, f"{level}")
+            continue
+        inside = base.filter("src < dst").join(member.select("g", F.col("node").alias("src"), F.col("c").alias("cs")), ["g", "src"]).join(member.select("g", F.col("node").alias("dst"), F.col("c").alias("cd")), ["g", "dst"]).filter("cs = cd").select(name(F.col("src")).alias("src"), name(F.col("dst")).alias("dst"))
+        parts = connected_components(start.select(name(F.col("node")).alias("node")), inside)
+        part = cut(start.select("g", "node", name(F.col("node")).alias("__key")).join(parts.select(F.col("node").alias("__key"), "component"), "__key").select("g", "node", F.element_at(F.split("component", "\u0001"), -1).alias("c")), f"parts-{level}")
+        if part.select("g", "c").distinct().count() == member.select("g", "c").distinct().count() + start.filter("k = 0").count():
+            return part.select("g", "node", F.col("c").alias("community"))
+        member, calm = part.join(linked.select("g", "node"), ["g", "node"]), True
+        level_nodes, sym = _merge(linked, base, member, f"parts-{level}")
+    raise RuntimeError("communities still merge: max_rounds is too small")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:

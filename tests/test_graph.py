@@ -181,6 +181,20 @@ def test_communities_find_what_was_planted(spark):
     assert {r.community for r in community.leiden(iso, e.limit(0), "auto").collect()} == {r.isolate_id for r in iso.collect()}
 
 
+def test_communities_are_moved_until_none_wants_to(spark):
+    n, gamma = 300, 0.02
+    ids = [f"p{i:03d}" for i in range(n)]
+    iso = spark.createDataFrame([(i, date(2020, 1, 1), "f", "w", None) for i in ids], ISO)
+    e = spark.createDataFrame([(a, b, 0.5) for a, b in zip(ids, ids[1:])], "src string, dst string, composite_weight double")
+    got = {r.isolate_id: r.community for r in community.leiden(iso, e, gamma).collect()}
+    runs = [[i] for i in ids[:1]]
+    for a, b in zip(ids, ids[1:]):
+        runs[-1].append(b) if got[a] == got[b] else runs.append([b])
+    assert len(runs) == len(set(got.values())) and all(got[i] == r[0] for r in runs for i in r)  # connected, named by the smallest
+    mass = [2 * len(r) - (r[0] == ids[0]) - (r[-1] == ids[-1]) for r in runs]
+    assert all(1 - gamma * x * y / (2 * (n - 1)) <= 1e-9 for x, y in zip(mass, mass[1:]))  # no two neighbours should be one
+
+
 def test_spectral_blocks(spark):
     truth, iso, e = planted(spark)
     got = {r.isolate_id: r.cluster for r in spectral.spectral(iso, e).collect()}

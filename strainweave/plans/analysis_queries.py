@@ -465,12 +465,17 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 _KNOWN = f"known AS (SELECT isolate_id, collection_date, sequence_type FROM alliso WHERE isolate_id NOT IN (SELECT {q.clean('isolate_id')} FROM isolate_payload WHERE {q.clean('isolate_id')} IS NOT NULL))"
 
 
+def _to_known(edges: DataFrame, known: DataFrame) -> DataFrame:
+    """The edges that the queries' SQL asks for: those to isolates known before any message."""
+    return edges.join(known.select(F.col("isolate_id").alias("target")), "target", "left_semi").select(edges.columns)
+
+
 @query("incremental_edges", q.with_(f"{q.ISO},\n{_KNOWN},\n{_NEW}", _NEW_EDGES))
 def incremental_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Edges of newly reported isolates to the known ones."""
     known = _known(spark, folder)
     new = incremental.new_isolates(table(spark, folder, "isolate_payload"), known)
-    return incremental.incremental_edges(new, known).withColumn("composite_weight", F.round("composite_weight", 9))
+    return _to_known(incremental.incremental_edges(new, known), known).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 # where the messages are one file, they are one batch, and the stream gives what the batch query gives
@@ -480,7 +485,7 @@ def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     out = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     known = cut(_known(spark, folder), "known")
     e = incremental.replay_edges(spark, f"{folder}/isolate_payload.parque[t]", known, out, f"{out}/checkpoint")
-    return e.withColumn("composite_weight", F.round("composite_weight", 9))
+    return _to_known(e, known).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 @query("stream_updates")

@@ -1,4 +1,4 @@
-"""New isolates arriving as messages: edges to the isolates known so far, clusters, risk, alerts.
+"""New isolates arriving as messages: edges to the isolates known so far and to earlier messages, clusters, risk, alerts.
 
 Every micro-batch is one idempotent step: its edges and updates are written under the batch's number, so a batch that
 is run again after a failure overwrites its own output.
@@ -33,12 +33,14 @@ def new_isolates(messages: DataFrame, known: DataFrame) -> DataFrame:
 def incremental_edges(new: DataFrame, known: DataFrame, snp_cutoff: float = 20, day_cutoff: int = 14) -> DataFrame:
     """(source, target, snp_distance, day_delta, mlst_mismatch, composite_weight): source is the new isolate.
 
-    Only distances within the cutoff leave the map, so the join sees few rows. A missing distance gives no edge.
+    new has the column row_id: an edge between two new isolates forms when the later row names the earlier, as if every
+    message had been taken before the next one. Only distances within the cutoff leave the map, so the join sees few rows. A missing distance gives no edge.
     """
     near = F.map_filter(F.col("snp_distances"), lambda k, d: d <= snp_cutoff)
-    pairs = new.select(F.col("isolate_id").alias("source"), F.col("collection_date").alias("s_day"), F.col("sequence_type").alias("s_st"), F.explode(near).alias("target", "d")).withColumn("target", clean_id(F.col("target")))
-    t = known.select(F.col("isolate_id").alias("target"), F.col("collection_date").alias("t_day"), F.col("sequence_type").alias("t_st"))
-    e = pairs.filter("source <> target").join(t, "target").withColumn("day_delta", F.abs(F.datediff("s_day", "t_day"))).filter(F.col("day_delta") <= day_cutoff)
+    pairs = new.select(F.col("isolate_id").alias("source"), F.col("row_id").alias("s_row"), F.col("collection_date").alias("s_day"), F.col("sequence_type").alias("s_st"), F.explode(near).alias("target", "d")).withColumn("target", clean_id(F.col("target")))
+    at = lambda t, row: t.select(F.col("isolate_id").alias("target"), F.col("collection_date").alias("t_day"), F.col("sequence_type").alias("t_st"), row.cast("bigint").alias("t_row"))
+    t = at(known, F.lit(None)).unionByName(at(new, F.col("row_id")))
+    e = pairs.filter("source <> target").join(t, "target").filter("t_row is null or t_row < s_row").withColumn("day_delta", F.abs(F.datediff("s_day", "t_day"))).filter(F.col("day_delta") <= day_cutoff)
     e = e.groupBy("source", "target", "day_delta", "s_st", "t_st").agg(F.min("d").alias("d")).withColumn("mlst_mismatch", st_mismatch(F.col("s_st"), F.col("t_st")))
     return e.select("source", "target", F.bround("d").cast("int").alias("snp_distance"), "day_delta", "mlst_mismatch", composite_weight(F.col("d"), F.col("day_delta"), F.col("mlst_mismatch"), snp_cutoff, day_cutoff).alias("composite_weight"))
 

@@ -117,6 +117,21 @@ def test_messages_as_a_stream(spark, tmp_path):
     assert incremental.status(spark.read.parquet(f"{out}/isolates"), e, spark.read.parquet(f"{out}/clusters/batch=1")).first().n_edges == 3
 
 
+def test_edges_between_messages_of_one_batch(spark, tmp_path):
+    known = spark.createDataFrame([("A", "2020-01-01", "1")], "isolate_id string, d string, sequence_type string").select("isolate_id", F.col("d").cast("date").alias("collection_date"), "sequence_type")
+    near = {1: ("C", {"A": 5, "D": 3}), 2: ("D", {" C ": 2, "A": 30}), 3: ("E", {"D": 4, "C": 21, "E": 0}), 4: ("F", {"E": 1, "A": 2})}
+    rows = [json.dumps({"row_id": k, "isolate_id": i, "collection_date": "2020-01-05", "sequence_type": "1", "snp_distances": d}) for k, (i, d) in near.items()]
+    want = [("C", "A", 5), ("D", "C", 2), ("E", "D", 4), ("F", "A", 2), ("F", "E", 1)]
+    for files in ([rows], [rows[:2], rows[2:]]):
+        at = tmp_path / str(len(files))
+        (at / "in").mkdir(parents=True)
+        for k, lines in enumerate(files):
+            write(at / f"in/{k}.json", "\n".join(lines))
+            os.utime(at / f"in/{k}.json", (k + 1, k + 1))
+        e = incremental.replay_edges(spark, str(at / "in"), known, str(at / "out"), str(at / "cp"), "json", 1)
+        assert sorted((r.source, r.target, r.snp_distance) for r in e.collect()) == want
+
+
 def test_entry_without_optional_package(spark, data, monkeypatch):
     import importlib.util
 

@@ -271,6 +271,21 @@ def test_places_as_classical_scaling(spark):
     assert plane.place_words(df.limit(0), "n").count() == 0
 
 
+def test_all_patterns_are_scaled(spark):
+    rng = random.Random(4)
+    flip = lambda w, p: sum(1 << b for b in range(64) if ((w >> b) & 1) ^ (rng.random() < p))
+    centres = [rng.getrandbits(64) for _ in range(2)]
+    words = sorted({flip(centres[i % 2], 0.15) for i in range(300)} | {flip(0xF0F0, 0.02) for _ in range(4)})
+    df = spark.createDataFrame([(i, w - 2**63) for i, w in enumerate(words)], "n long, word long")
+    at = {r.n: (r.x, r.y) for r in plane.place_words(df, "n").collect()}
+    d = np.array([[(a ^ b).bit_count() for b in words] for a in words], dtype=float)
+    centre = np.eye(len(words)) - 1 / len(words)
+    values, vectors = np.linalg.eigh(-0.5 * centre @ d**2 @ centre)
+    want = vectors[:, -2:] * np.sqrt(values[-2:])
+    between = lambda p: np.linalg.norm(p[:, None] - p[None], axis=2)
+    assert np.allclose(between(np.array([at[i] for i in range(len(words))])), between(want), atol=1e-6)
+
+
 def test_ingest_edges(spark):
     snp = spark.createDataFrame([(1, " A", "B", 3.0), (2, "B", "A\t", 4.0), (3, "A", "A", 1.0), (4, None, "A", 1.0), (5, "A", "C", None), (6, "", "C", -1.0)], "row_id long, isolate_id string, dst string, d double")
     assert [tuple(r) for r in ingest.distances(snp).collect()] == [("A", "B", 3.5)]

@@ -1,4 +1,4 @@
-"""Command line: run, validate, init, compare, simulate, benchmark, report, serve."""
+"""Command line: run, validate, init, compare, benchmark, report, serve."""
 
 from __future__ import annotations
 
@@ -54,28 +54,24 @@ def _compare(a) -> int:
     return 0
 
 
-def _simulate(a) -> int:
-    from strainweave.sources.simulate import write_fixture
-
-    print(json.dumps(write_fixture(_spark(), a.folder, a.isolates, a.clusters, a.seed)))
-    return 0
-
-
 def _benchmark(a) -> int:
-    from strainweave.operators import chains, community, graph
+    """Times the graph and the methods of a run on its own input."""
+    from strainweave.operators import graph
+    from strainweave.plans import pipeline
     from strainweave.plans.shared import cut
-    from strainweave.sources import simulate
-
-    spark = _spark()
-    for n in a.sizes:
-        iso = cut(simulate.simulate_isolates(spark, n, max(2, n // 50)), "isolates")
-        dist = cut(simulate.simulate_distances(spark, n, max(2, n // 50)), "distances")
-        t0 = time.time()
-        e = cut(graph.edges(dist, iso, 20, 30), "edges")
-        t1 = time.time()
-        chains.chain_clusters(iso, e).count()
-        community.leiden(iso, e).count()
-        print(json.dumps({"n": n, "edges": e.count(), "graph_s": round(t1 - t0, 3), "clustering_s": round(time.time() - t1, 3)}))
+    from strainweave.sources import readers
+
+    spark, c = _spark(), cfg.from_yaml(a.config)
+    dist, iso = (cut(t, "input") for t in readers.load(spark, c.inputs.snp_matrix, c.inputs.epi_metadata, c.inputs.mlst_profiles))
+    t, took = c.thresholds, {}
+    began = time.time()
+    e = cut(graph.edges(dist, iso, t.snp_cutoff, t.day_cutoff, t.edge_weight_alpha, t.edge_weight_beta, t.edge_weight_gamma), "edges")
+    took["graph"] = round(time.time() - began, 3)
+    for m in c.clustering.methods:
+        began = time.time()
+        pipeline.cluster_by(m, iso, e, c).count()
+        took[m] = round(time.time() - began, 3)
+    print(json.dumps({"isolates": iso.count(), "edges": e.count(), "seconds": took}))
     return 0
 
 
@@ -107,6 +103,8 @@ def _serve(a) -> int:
     known = cut(iso.select("isolate_id", "collection_date", "sequence_type"), "known")
     edges = cut(graph.edges(dist, known, t.snp_cutoff, t.day_cutoff, t.edge_weight_alpha, t.edge_weight_beta, t.edge_weight_gamma), "known-edges")
     clusters = cut(community.leiden(known, edges, c.clustering.leiden_resolution).withColumnRenamed("community", "cluster"), "known-clusters")
+    if not spark.sparkContext.master.startswith("local") and "://" not in c.output_dir:
+        raise cfg.ConfigError("output_dir must name a file system that all executors share")
     incremental.follow(spark, a.messages, known, f"{c.output_dir}/stream", f"{c.output_dir}/stream-checkpoint", t.snp_cutoff, t.day_cutoff, known_edges=edges, known_clusters=clusters, threshold=c.streaming.alert_threshold).awaitTermination()
     return 0
 
@@ -126,8 +124,7 @@ def main(argv: list[str] | None = None) -> int:
     command("validate", _validate, (["config"], {}))
     command("init", _init, (["path"], {"nargs": "?", "default": "strainweave.yaml"}))
     command("compare", _compare, (["first"], {}), (["second"], {}))
-    command("simulate", _simulate, (["folder"], {}), (["--isolates"], {"type": int, "default": 28}), (["--clusters"], {"type": int, "default": 4}), (["--seed"], {"type": int, "default": 42}))
-    command("benchmark", _benchmark, (["--sizes"], {"type": int, "nargs": "+", "default": [50, 200, 500]}))
+    command("benchmark", _benchmark, (["config"], {}))
     command("report", _report, (["folder"], {}))
     command("serve", _serve, (["config"], {}), (["messages"], {}))
     a = p.parse_args(argv)

@@ -1,24 +1,31 @@
 """Centrality of the temporal graph, risk, and index cases.
 
-Shortest paths stay within a weak component. Components are packed into groups by their hash; a component of more than
-BLOCK nodes is given to several groups, each with a block of its nodes as sources, and the shares are summed.
+Shortest paths stay within a weak component. Components of up to WHOLE arcs are packed into groups, as many as their arcs
+ask for; one of more than BLOCK nodes is given to several groups, each with a block of its nodes as sources, and the
+shares are summed. In larger components distances, numbers of paths and shares are tables that joins bring forward until
+nothing changes, a block of sources at a time, so that no task holds a component.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strainweave.functions.weights import floor_weight
 from strainweave.operators.components import connected_components
-from strainweave.plans.shared import cut
+from strainweave.plans.shared import cut, scope, write_counted, write_step
 
 #: Source nodes of one group at most, for a component larger than that.
 BLOCK = 512
+#: Most arcs of a component that a group holds, and arcs of a group on average.
+WHOLE, GROUP = 200_000, 20_000
+#: Rows (source, node) that a block of sources of the large components has at most, about.
+STATE = 200_000_000
 _TIE = 1e-10
 
 
@@ -71,16 +78,91 @@ def _shares(directed: bool):
     return work
 
 
-def path_centrality(arcs: DataFrame, nodes: DataFrame, directed: bool = True, block: int = BLOCK, packs: int = 128) -> DataFrame:
+def _near(a: Column, b: Column) -> Column:
+    """Whether two path lengths count as equal."""
+    return F.abs(a - b) <= _TIE * F.greatest(F.lit(1.0), b)
+
+
+def _distances(sources: DataFrame, arcs: DataFrame, max_rounds: int) -> DataFrame:
+    """(s, v, d): the shortest distance from every source to every node it reaches; only what got shorter is sent on."""
+    now = write_step(sources.select("s", F.col("s").alias("v"), F.lit(0.0).alias("d"), F.lit(True).alias("changed")), "reached")
+    for r in range(max_rounds):
+        sent = now.df.filter("changed").join(arcs, F.col("v") == F.col("src")).groupBy("s", F.col("dst").alias("v")).agg(F.min(F.col("d") + F.col("w")).alias("new"))
+        step = now.df.select("s", "v", "d").join(sent, ["s", "v"], "full_outer").select("s", "v", F.least("d", "new").alias("d"), (F.col("d").isNull() | (F.col("new") < F.col("d"))).alias("changed"))
+        new, seen = write_counted(step.withColumn("changed", F.coalesce("changed", F.lit(False))), f"reached-{r}", changed=F.count_if("changed"))
+        now.drop()
+        now = new
+        if not seen["changed"]:
+            return now.df.select("s", "v", "d")
+    raise RuntimeError("distances still change: max_rounds is too small")
+
+
+def _settle(start: DataFrame, steps: DataFrame, share: Column, max_rounds: int) -> DataFrame:
+    """(s, v, x): x = base + the sum of `share` over the steps (s, u, v) that lead from u to v, brought forward until nothing changes.
+
+    start (s, v, base); share reads x of the end u, and what else the steps carry. The steps have no cycle, so a node's
+    value stands once those before it do.
+    """
+    now = write_step(start.select("s", "v", "base", F.col("base").alias("x")), "values")
+    for r in range(max_rounds):
+        got = steps.join(now.df.select("s", F.col("v").alias("u"), "x"), ["s", "u"]).groupBy("s", "v").agg(F.sum(share).alias("got"))
+        step = now.df.join(got, ["s", "v"], "left").select("s", "v", "base", F.col("x").alias("old"), (F.col("base") + F.coalesce("got", F.lit(0.0))).alias("x"))
+        new, seen = write_counted(step, f"values-{r}", changed=F.count_if(F.abs(F.col("x") - F.col("old")) > 1e-12 * F.greatest(F.lit(1.0), F.abs("x"))))
+        now.drop()
+        now = new
+        if not seen["changed"]:
+            return now.df.select("s", "v", "x")
+    raise RuntimeError("values still change: max_rounds is too small")
+
+
+def _by_joins(arcs: DataFrame, nodes: DataFrame, directed: bool, state: int, max_rounds: int = 100_000) -> DataFrame:
+    """(node, betweenness, closeness) of components of any size; nodes (node, n) with the size of their component."""
+    around = cut(arcs.unionByName(arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "around")
+    out = cut(arcs.groupBy("src", "dst").agg(F.min("w").alias("w")), "out") if directed else around
+    rows = nodes.agg(F.sum(F.col("n").cast("double"))).first()[0]
+    blocks = max(1, math.ceil(rows / state))
+    found = None
+    for b in range(blocks):
+        sources = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b).select(F.col("node").alias("s"))
+        every = _distances(sources, around, max_rounds)
+        close = every.groupBy("s").agg(F.try_divide(F.count("*") - 1, F.sum("d")).alias("closeness")).select(F.col("s").alias("node"), F.lit(0.0).alias("betweenness"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
+        d = _distances(sources, out, max_rounds) if directed else every
+        on = d.select("s", F.col("v").alias("u"), F.col("d").alias("du")).join(out.withColumnRenamed("src", "u"), "u").join(d.withColumnRenamed("v", "dst"), ["s", "dst"])
+        steps = cut(on.filter(_near(F.col("du") + F.col("w"), F.col("d"))).select("s", "u", F.col("dst").alias("v")), "steps")
+        sigma = cut(_settle(d.select("s", "v", F.when(F.col("s") == F.col("v"), 1.0).otherwise(0.0).alias("base")), steps, F.col("x"), max_rounds), "sigma")
+        at = lambda end: sigma.select("s", F.col("v").alias(end), F.col("x").alias(f"{end}_paths"))  # noqa: E731, B023
+        back = cut(steps.join(at("u"), ["s", "u"]).join(at("v"), ["s", "v"]).select("s", F.col("v").alias("u"), F.col("u").alias("v"), (F.col("u_paths") / F.col("v_paths")).alias("part")), "back")
+        delta = _settle(d.select("s", "v", F.lit(0.0).alias("base")), back, F.col("part") * (1 + F.col("x")), max_rounds)
+        between = delta.filter("s <> v").groupBy(F.col("v").alias("node")).agg((F.sum("x") / (1 if directed else 2)).alias("betweenness"))
+        one = cut(close.unionByName(between.withColumn("closeness", F.lit(0.0))), "shares")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def path_centrality(arcs: DataFrame, nodes: DataFrame, directed: bool = True, block: int = BLOCK, whole: int = WHOLE, state: int = STATE) -> DataFrame:
     """(node, betweenness, closeness) from arcs (src, dst, w): betweenness by direction and not normalised, closeness
     without direction over the reached nodes. Weights are floored at 1e-6; a node without arcs has zeros."""
+    with scope() as keep:
+        return keep(_path_centrality(arcs, nodes, directed, block, whole, state), "path-centrality")
+
+
+def _path_centrality(arcs: DataFrame, nodes: DataFrame, directed: bool, block: int, whole: int, state: int) -> DataFrame:
     a = cut(arcs.select("src", "dst", floor_weight(F.col("w")).alias("w")), "weighted")
-    comp = cut(connected_components(a.select(F.col("src").alias("node")), a), "component")
-    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    comp = connected_components(a.select(F.col("src").alias("node")), a)
+    arc = cut(a.join(comp.select(F.col("node").alias("src"), "component"), "src"), "arcs")
+    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).join(arc.groupBy("component").agg(F.count("*").alias("m")), "component")
+    sizes = cut(sizes.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")), "sizes")
+    said = sizes.agg(F.count_if(F.col("m") > whole).alias("large"), F.coalesce(F.sum(F.when(F.col("m") <= whole, F.col("m"))), F.lit(0)).alias("arcs")).first()
+    packs = max(1, -(-said["arcs"] // GROUP))
+    small = sizes.filter(F.col("m") <= whole)
     pack = F.when(F.col("blocks") == 1, F.concat(F.lit("p"), F.pmod(F.xxhash64("component"), F.lit(packs)).cast("string")))
-    src = comp.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", F.coalesce(pack, F.concat_ws("#", "component", "part")).alias("pack"))
-    arc = a.join(comp.select(F.col("node").alias("src"), "component"), "src").join(sizes, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("src", "dst", "w", F.coalesce(pack, F.concat_ws("#", "component", "part")).alias("pack"))
-    shares = arc.groupBy("pack").cogroup(src.groupBy("pack")).applyInPandas(_shares(directed), "node string, betweenness double, closeness double")
+    src = comp.join(small, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).select("node", F.coalesce(pack, F.concat_ws("#", "component", "part")).alias("pack"))
+    own = arc.join(small, "component").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("src", "dst", "w", F.coalesce(pack, F.concat_ws("#", "component", "part")).alias("pack"))
+    shares = own.groupBy("pack").cogroup(src.groupBy("pack")).applyInPandas(_shares(directed), "node string, betweenness double, closeness double")
+    if said["large"]:
+        large = sizes.filter(F.col("m") > whole)
+        wide = cut(arc.join(large.select("component"), "component", "left_semi").select("src", "dst", "w"), "large-arcs")
+        shares = shares.unionByName(_by_joins(wide, cut(comp.join(large, "component").select("node", "n"), "large-nodes"), directed, state))
     sums = shares.groupBy("node").agg(F.sum("betweenness").alias("betweenness"), F.max("closeness").alias("closeness"))
     return nodes.select("node").join(sums, "node", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"), F.coalesce("closeness", F.lit(0.0)).alias("closeness"))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strainweave.plans.shared import cut, write_step
+from strainweave.plans.shared import cut, scope, write_counted, write_step
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -14,6 +14,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
     nodes has the column node, edges src and dst (either direction, ends outside nodes allowed). Every round takes the
     smallest label among a node and its neighbours and then the label's own label, so paths halve.
     """
+    with scope() as keep:
+        return keep(_components(nodes, edges, max_rounds), "components")
+
+
+def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     known = nodes.select("node").union(edges.select("src")).union(edges.select("dst")).filter("node is not null").distinct()
     sym = cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "neighbours")
     now = write_step(known.select("node", F.col("node").alias("label")), "labels")
@@ -22,11 +27,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
         low = now.df.join(near, now.df["node"] == near["src"], "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = now.df.select(F.col("node").alias("label"), F.col("label").alias("root"))
         step = low.join(up, "label", "left").select("node", "old", F.least("label", "root").alias("label"))
-        seen = Observation()
-        new = write_step(step.observe(seen, F.count_if(F.col("old") != F.col("label")).alias("moved")), f"labels-{k}")
+        new, seen = write_counted(step, f"labels-{k}", moved=F.count_if(F.col("old") != F.col("label")))
         now.drop()
         now = new
-        if not seen.get["moved"]:
+        if not seen["moved"]:
             return now.df.select("node", F.col("label").alias("component"))
     raise RuntimeError("no fixpoint: max_rounds is too small")
 

@@ -11,6 +11,10 @@ from strainweave.operators.components import connected_components, number_rows
 from strainweave.plans.shared import cut
 
 
+#: Cells of the contingency table that a group has on average.
+GROUP = 20_000
+
+
 def contingency(other: DataFrame, reference: DataFrame) -> DataFrame:
     """(g, other, ref, n): how many isolates have both labels. Inputs (g, isolate_id, label); those in one only do not count."""
     return other.select("g", "isolate_id", F.col("label").alias("other")).join(reference.select("isolate_id", F.col("label").alias("ref")), "isolate_id").groupBy("g", "other", "ref").agg(F.count("*").alias("n"))
@@ -63,7 +67,7 @@ def _inverse(pick: np.ndarray, rows: int) -> np.ndarray:
     return out
 
 
-def align_labels(other: DataFrame, reference: DataFrame, packs: int = 64) -> DataFrame:
+def align_labels(other: DataFrame, reference: DataFrame) -> DataFrame:
     """(g, other, label): for every label of each graph g of `other` the reference's label of the best one-to-one matching.
 
     A label without an overlapping partner gets the next free number: the largest of the reference + 1, + 2, .. in the
@@ -76,6 +80,7 @@ def align_labels(other: DataFrame, reference: DataFrame, packs: int = 64) -> Dat
     links = table.select(o.alias("src"), r.alias("dst"))
     blocks = connected_components(links.select(F.col("src").alias("node")), links)
     keyed = table.withColumn("node", o).join(blocks, "node").select("g", "other", "ref", "n", F.col("component").alias("block"))
+    packs = max(1, -(-table.count() // GROUP))
     matched = cut(keyed.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(_match_block, "g int, other bigint, ref bigint"), "matched")
     labels = other.select("g", F.col("label").alias("other")).distinct()
     free = number_rows(labels.join(matched, ["g", "other"], "left_anti"), ["g", "other"], "__n")

@@ -7,11 +7,13 @@ not lie on a cycle.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainweave.operators.components import connected_components
-from strainweave.plans.shared import cut, write_step
+from strainweave.plans.shared import cut, shared_folder, write_counted, write_step
 
 
 def orient(edges: DataFrame, iso: DataFrame, uncertainty_days: int = 2) -> DataFrame:
@@ -38,19 +40,40 @@ def sources_sinks(arcs: DataFrame, iso: DataFrame) -> DataFrame:
     return d.select("isolate_id", F.col("has_in").isNull().alias("is_source"), F.col("has_out").isNull().alias("is_sink"))
 
 
-def longest_paths(arcs: DataFrame, iso: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """(isolate_id, chain_length): arcs on the longest path that ends there. Raises on a cycle, which never comes to rest."""
-    a = cut(arcs.select("src", "dst").distinct(), "arcs")
-    now = write_step(iso.select("isolate_id", F.lit(0).alias("chain_length")), "levels")
+def peel(arcs: DataFrame, iso: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, bool]:
+    """(isolate_id, chain_length) of the isolates on no cycle and behind none; and whether that is all of them.
+
+    Round by round the isolates without an arc to them leave, and their arcs with them: the round's number is the number
+    of arcs on the longest path that ends there. What is left gets smaller every round; when nothing leaves, it holds cycles.
+    """
+    spark = iso.sparkSession
+    root = f"{shared_folder(spark)}/levels-{uuid.uuid4().hex}"
+    rest = write_step(arcs.select("src", "dst").distinct(), "rest")
+    left = write_step(iso.select("isolate_id").distinct(), "left")
+    if not left.df.limit(1).count():
+        return left.df.withColumn("chain_length", F.lit(0)), not rest.df.limit(1).count()
     for k in range(max_rounds):
-        up = a.join(now.df, F.col("src") == F.col("isolate_id")).groupBy(F.col("dst").alias("isolate_id")).agg((F.max("chain_length") + 1).alias("up"))
-        step = now.df.select("isolate_id", F.col("chain_length").alias("old")).join(up, "isolate_id", "left").select("isolate_id", "old", F.greatest("old", "up").alias("chain_length"))
-        new = write_step(step, f"levels-{k}")
-        now.drop()
-        now = new
-        if not new.df.filter("chain_length > old").limit(1).count():
-            return now.df.select("isolate_id", "chain_length")
-    raise RuntimeError("the arcs hold a cycle")
+        blocked = rest.df.select(F.col("dst").alias("isolate_id")).distinct()
+        marked = left.df.join(blocked.withColumn("blocked", F.lit(True)), "isolate_id", "left")
+        sorted_out, n = write_counted(marked, f"blocked-{k}", free=F.count_if(F.col("blocked").isNull()), blocked=F.count_if("blocked"))
+        free = sorted_out.df.filter("blocked is null").select("isolate_id")
+        free.write.parquet(f"{root}/chain_length={k}")
+        last = (left, rest, sorted_out)
+        left = write_step(sorted_out.df.filter("blocked").select("isolate_id"), f"left-{k}")
+        rest = write_step(rest.df.join(free.withColumnRenamed("isolate_id", "src"), "src", "left_anti"), f"rest-{k}")
+        for t in last:
+            t.drop()
+        if not n["free"] or not n["blocked"]:
+            return spark.read.schema("isolate_id string, chain_length int").parquet(root), not n["blocked"] and not rest.df.limit(1).count()
+    raise RuntimeError("a path is longer than max_rounds")
+
+
+def longest_paths(arcs: DataFrame, iso: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+    """(isolate_id, chain_length): arcs on the longest path that ends there. Raises on a cycle."""
+    found, acyclic = peel(arcs, iso, max_rounds)
+    if not acyclic:
+        raise RuntimeError("the arcs hold a cycle")
+    return found
 
 
 def topological_rank(arcs: DataFrame, iso: DataFrame) -> DataFrame:
@@ -59,10 +82,11 @@ def topological_rank(arcs: DataFrame, iso: DataFrame) -> DataFrame:
 
 
 def dag_summary(arcs: DataFrame, iso: DataFrame) -> DataFrame:
-    """One row: sizes, sources, sinks, weak components, longest chain."""
+    """One row: sizes, sources, sinks, weak components, longest chain (of the part without cycles), and whether there is no cycle."""
     arcs = cut(arcs, "dag")
     ends = sources_sinks(arcs, iso).agg(F.count("*").alias("n_vertices"), F.count_if("is_source").alias("n_source_nodes"), F.count_if("is_sink").alias("n_sink_nodes"))
     comps = connected_components(iso.select(F.col("isolate_id").alias("node")), arcs).agg(F.countDistinct("component").alias("n_weakly_connected_components"))
-    chain = longest_paths(arcs, iso).agg(F.coalesce(F.max("chain_length"), F.lit(0)).alias("max_chain_length"))
+    levels, acyclic = peel(arcs, iso)
+    chain = levels.agg(F.coalesce(F.max("chain_length"), F.lit(0)).alias("max_chain_length"))
     one = ends.join(arcs.agg(F.count("*").alias("n_edges"))).join(comps).join(chain)  # one row each
-    return one.select("n_vertices", "n_edges", "n_source_nodes", "n_sink_nodes", "n_weakly_connected_components", "max_chain_length", F.lit(True).alias("is_dag"))
+    return one.select("n_vertices", "n_edges", "n_source_nodes", "n_sink_nodes", "n_weakly_connected_components", "max_chain_length", F.lit(acyclic).alias("is_dag"))

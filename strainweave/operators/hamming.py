@@ -2,12 +2,16 @@
 
 A symbol string becomes 64-bit words, per position one bit of each plane and one for whether the base counts; a distance
 is then a sum of bit_count over words. Close pairs come from the pigeonhole principle: two strings that differ in at
-most k places agree in one of k + 1 bands. Strings with masked places, which agree with anything, are compared as a
+most k places agree in one of k + 1 bands, and nearly agree in one of fewer, longer bands, under whose nearby values a
+word is looked up. Strings with masked places, which agree with anything, are compared as a
 query set in blocks. A search takes a stated query set against all rows, in blocks.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +19,22 @@ from strainweave.plans.shared import cut
 
 #: Rows of one block of a query set.
 BLOCK = 1024
+#: Most values under which a word is looked up.
+MAX_PROBES = 4096
 
 
 def sign_word(vector: Column, floor: float = 0.0) -> Column:
-    """A vector of up to 64 numbers as one word: bit i is set where the number i is >= 0."""
-    return F.aggregate(F.transform(vector, lambda x, i: F.when(x >= floor, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    """A vector of up to 64 numbers as one word: bit i is set where the number i is >= 0. A longer one is an error."""
+    return _checked(vector, F.aggregate(F.transform(vector, lambda x, i: F.when(x >= floor, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
+
+
+def _checked(vector: Column, word: Column) -> Column:
+    return F.when(F.size(vector) <= 64, word).when(vector.isNotNull(), F.raise_error(F.lit("a word holds 64 places")).cast("bigint"))
 
 
 def valid_word(vector: Column, unsure: float) -> Column:
     """Bit i is set where the number i is at least `unsure` away from 0: the others are masked like N."""
-    return F.aggregate(F.transform(vector, lambda x, i: F.when(F.abs(x) >= unsure, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
+    return _checked(vector, F.aggregate(F.transform(vector, lambda x, i: F.when(F.abs(x) >= unsure, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b)))
 
 
 def word_distance(a: Column, b: Column, valid: Column | None = None) -> Column:
@@ -47,20 +57,46 @@ def search_words(rows: DataFrame, queries: DataFrame, node: str, most: int, mask
     return r.join(q, "__b").select("query_id", node, d.cast("int").alias("distance")).filter((F.col("query_id") != F.col(node)) & (F.col("distance") <= most))
 
 
+def probe_plan(most: int, bits: int = 64, max_probes: int = MAX_PROBES) -> list[tuple[int, int, int]]:
+    """(low, high, radius) of the bands of a word: two words within `most` differ in at most `radius` places of one of them.
+
+    A row is looked up under every value within the radius, at most max_probes of them over all bands. Of the numbers of
+    bands that allow it the one is taken by which the fewest of all pairs meet; with most + 1 bands the radius is 0.
+    """
+    plans = []
+    for bands in range(1, min(most + 1, bits) + 1):
+        cuts = [round(i * bits / bands) for i in range(bands + 1)]
+        radius = [(most + 1) // bands - 1 + (i < (most + 1) % bands) for i in range(bands)]
+        plan = list(zip(cuts, cuts[1:], radius))
+        volume = [sum(math.comb(h - l, i) for i in range(r + 1)) for l, h, r in plan]
+        if sum(volume) <= max(max_probes, bands):
+            plans.append((sum(v / 2 ** (h - l) for v, (l, h, _) in zip(volume, plan)), sum(volume), plan))
+    return min(plans)[2] if plans else [(i, i + 1, 0) for i in range(bits)]
+
+
 def close_words(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
-    """(src, dst, distance) of all pairs of rows within `most`, src < dst, exact: bands of the word that must agree somewhere.
+    """(src, dst, distance) of all pairs of rows within `most`, src < dst, exact: some band of the word nearly agrees.
 
     Every pair is a row of the result; where copies abound and pairs of classes are enough, close_classes is the form.
     """
-    bands = most + 1
-    cuts = [round(i * bits / bands) for i in range(bands + 1)]
-    value = lambda i: F.call_function("shiftright", F.call_function("shiftleft", F.col("word"), F.lit(64 - cuts[i + 1])), F.lit(64 - cuts[i + 1] + cuts[i]))
-    banded = rows.select(node, "word", F.posexplode(F.array(*[value(i) for i in range(bands)])).alias("band", "value"))
-    side = lambda p: banded.select("band", "value", F.col(node).alias(p), F.col("word").alias(f"{p}_word"))
-    d = side("src").join(side("dst"), ["band", "value"]).filter("src < dst").select("src", "dst", "band", word_distance(F.col("src_word"), F.col("dst_word")).cast("int").alias("distance"), F.col("src_word").bitwiseXOR(F.col("dst_word")).alias("x")).filter(F.col("distance") <= most)
-    # a pair may agree in several bands; the first of them reports it
-    same = F.array(*[F.col("x").bitwiseAND(F.lit(_mask(cuts[i], cuts[i + 1]))) == 0 for i in range(bands)])
-    return d.filter(F.array_position(same, True) == F.col("band") + 1).select("src", "dst", "distance")
+    return close_candidates(rows, node, most, bits).filter(F.col("distance") <= most).select("src", "dst", "distance")
+
+
+def close_candidates(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
+    """(src, dst, distance) of the pairs that meet in a band, each in the first where it does: what close_words compares."""
+    if most >= bits:
+        raise ValueError("all pairs are within the limit")
+    plan = probe_plan(most, bits)
+    part = lambda word, low, high: F.call_function("shiftrightunsigned", F.call_function("shiftleft", word, F.lit(64 - high)), F.lit(64 - high + low))
+    banded = rows.select(node, "word", F.posexplode(F.array(*[part(F.col("word"), low, high) for low, high, _ in plan])).alias("band", "value"))
+    masks = [(i, sum(1 << p for p in places)) for i, (low, high, r) in enumerate(plan) for n in range(r + 1) for places in combinations(range(high - low), n)]
+    flips = rows.sparkSession.createDataFrame(masks, "band int, mask bigint")
+    asked = banded.join(F.broadcast(flips), "band").select("band", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), F.col(node).alias("src"), F.col("word").alias("src_word"))  # at most MAX_PROBES masks
+    there = banded.select("band", "value", F.col(node).alias("dst"), F.col("word").alias("dst_word"))
+    d = asked.join(there, ["band", "value"]).filter("src < dst").withColumn("x", F.col("src_word").bitwiseXOR(F.col("dst_word")))
+    # a pair may meet in several bands; the first of them reports it
+    meets = F.array(*[F.bit_count(F.col("x").bitwiseAND(F.lit(_mask(low, high)))) <= r for low, high, r in plan])
+    return d.filter(F.array_position(meets, True) == F.col("band") + 1).select("src", "dst", F.bit_count("x").cast("int").alias("distance"))
 
 
 def close_classes(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
@@ -75,6 +111,17 @@ def close_classes(rows: DataFrame, node: str, most: int, bits: int = 64) -> Data
     return close_words(classes, node, most, bits).unionByName(members)
 
 
+def close_rows(rows: DataFrame, node: str, most: int, bits: int = 64) -> DataFrame:
+    """close_words by way of classes: distinct words are compared, and the pairs of classes then give the pairs of rows."""
+    rows = cut(rows.filter(F.col("word").isNotNull() & F.col(node).isNotNull()).select(node, "word"), "rows")
+    classes = cut(rows.groupBy("word").agg(F.min(node).alias("class")), "classes")
+    of = cut(rows.join(classes, "word").select(node, "class"), "class-of")
+    pairs = close_words(classes, "class", most, bits).unionByName(classes.select(F.col("class").alias("src"), F.col("class").alias("dst"), F.lit(0).alias("distance")))
+    at = lambda end, name: of.select(F.col("class").alias(end), F.col(node).alias(name))
+    both = pairs.join(at("src", "a"), "src").join(at("dst", "b"), "dst").filter((F.col("src") != F.col("dst")) | (F.col("a") < F.col("b")))
+    return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "distance")
+
+
 def _mask(low: int, high: int) -> int:
     m = ((1 << high) - 1) ^ ((1 << low) - 1)
     return m - (1 << 64) if m >= 1 << 63 else m

@@ -444,14 +444,15 @@ def edges_band_join(spark: SparkSession, folder: str) -> DataFrame:
 
     v = table(spark, folder, "embeddings")
     iso = v.select(F.col("vec_id").alias("isolate_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("vec_id") * 37 % 90).cast("int")).alias("collection_date"), F.when(F.col("vec_id") % 17 != 0, F.col("label").cast("string")).alias("sequence_type"))
-    pairs = hamming.close_words(v.select("vec_id", hamming.sign_word(F.col("embedding")).alias("word")), "vec_id", 15).select("src", "dst", F.col("distance").cast("double").alias("d"))
+    pairs = hamming.close_rows(v.select("vec_id", hamming.sign_word(F.col("embedding")).alias("word")), "vec_id", 15).select("src", "dst", F.col("distance").cast("double").alias("d"))
     return graph.edges(pairs, iso, 15, 60).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 _NEW = f"""p1 AS (SELECT row_id, {q.clean('isolate_id')} AS isolate_id, {q.day('collection_date')} AS collection_date, {q.st('sequence_type')} AS sequence_type, snp_distances FROM isolate_payload),
 p2 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY isolate_id ORDER BY row_id) AS n FROM p1 WHERE isolate_id IS NOT NULL AND collection_date IS NOT NULL) WHERE n = 1 AND isolate_id NOT IN (SELECT isolate_id FROM known)),
-near AS (SELECT isolate_id AS source, collection_date AS sd, sequence_type AS ss, {q.clean('u.e.key')} AS target, u.e.value AS d FROM p2, unnest(map_entries(snp_distances)) AS u(e) WHERE u.e.value <= 20),
-ne AS (SELECT source, target, abs(date_diff('day', sd, collection_date)) AS days, coalesce(nullif(ss, '') <> nullif(k.sequence_type, ''), false) AS mm, min(d) AS d FROM near JOIN known k ON k.isolate_id = target WHERE source <> target GROUP BY ALL)"""
+there AS (SELECT isolate_id, collection_date, sequence_type, CAST(NULL AS BIGINT) AS tr FROM known UNION ALL SELECT isolate_id, collection_date, sequence_type, row_id FROM p2),
+near AS (SELECT isolate_id AS source, row_id AS sr, collection_date AS sd, sequence_type AS ss, {q.clean('u.e.key')} AS target, u.e.value AS d FROM p2, unnest(map_entries(snp_distances)) AS u(e) WHERE u.e.value <= 20),
+ne AS (SELECT source, target, abs(date_diff('day', sd, collection_date)) AS days, coalesce(nullif(ss, '') <> nullif(k.sequence_type, ''), false) AS mm, min(d) AS d FROM near JOIN there k ON k.isolate_id = target WHERE source <> target AND (k.tr IS NULL OR k.tr < sr) GROUP BY ALL)"""
 _NEW_EDGES = """SELECT source, target, CAST(round_even(d, 0) AS INT) AS snp_distance, CAST(days AS INT) AS day_delta, mm AS mlst_mismatch,
 round(CAST(0.4 AS DOUBLE) * (d / CAST(20 AS DOUBLE)) + CAST(0.4 AS DOUBLE) * (CAST(days AS DOUBLE) / CAST(14 AS DOUBLE)) + CAST(0.2 AS DOUBLE) * (CASE WHEN mm THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END), 9) AS composite_weight FROM ne WHERE days <= 14"""
 
@@ -465,17 +466,12 @@ def _known(spark: SparkSession, folder: str) -> DataFrame:
 _KNOWN = f"known AS (SELECT isolate_id, collection_date, sequence_type FROM alliso WHERE isolate_id NOT IN (SELECT {q.clean('isolate_id')} FROM isolate_payload WHERE {q.clean('isolate_id')} IS NOT NULL))"
 
 
-def _to_known(edges: DataFrame, known: DataFrame) -> DataFrame:
-    """The edges that the queries' SQL asks for: those to isolates known before any message."""
-    return edges.join(known.select(F.col("isolate_id").alias("target")), "target", "left_semi").select(edges.columns)
-
-
 @query("incremental_edges", q.with_(f"{q.ISO},\n{_KNOWN},\n{_NEW}", _NEW_EDGES))
 def incremental_edges(spark: SparkSession, folder: str) -> DataFrame:
-    """Edges of newly reported isolates to the known ones."""
+    """Edges of newly reported isolates to the known ones and to those reported before them."""
     known = _known(spark, folder)
     new = incremental.new_isolates(table(spark, folder, "isolate_payload"), known)
-    return _to_known(incremental.incremental_edges(new, known), known).withColumn("composite_weight", F.round("composite_weight", 9))
+    return incremental.incremental_edges(new, known).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 # where the messages are one file, they are one batch, and the stream gives what the batch query gives
@@ -485,7 +481,7 @@ def stream_replay(spark: SparkSession, folder: str) -> DataFrame:
     out = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     known = cut(_known(spark, folder), "known")
     e = incremental.replay_edges(spark, f"{folder}/isolate_payload.parque[t]", known, out, f"{out}/checkpoint")
-    return _to_known(e, known).withColumn("composite_weight", F.round("composite_weight", 9))
+    return e.withColumn("composite_weight", F.round("composite_weight", 9))
 
 
 @query("stream_updates")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strainweave.config import Config
 from strainweave.operators import bootstrap, centrality, chains, community, components, consensus, dag, graph, spectral, summary
-from strainweave.plans.shared import cut
+from strainweave.plans.shared import cut, scope
 from strainweave.sources import readers, writers
 
 
@@ -52,19 +53,23 @@ def cluster_by(method: str, iso: DataFrame, edges: DataFrame, config: Config) ->
 
 def analyse(dist: DataFrame, iso: DataFrame, config: Config) -> Result:
     """All tables of a run over distances (src, dst, d) and isolates."""
+    with scope() as keep:
+        return _analyse(keep(dist, "distances"), keep(iso, "isolates"), config, keep)
+
+
+def _analyse(dist: DataFrame, iso: DataFrame, config: Config, keep: Callable[[DataFrame, str], DataFrame]) -> Result:
     t, c = config.thresholds, config.clustering
-    iso, dist = cut(iso, "isolates"), cut(dist, "distances")
-    edges = cut(graph.edges(dist, iso, t.snp_cutoff, t.day_cutoff, t.edge_weight_alpha, t.edge_weight_beta, t.edge_weight_gamma), "edges")
-    by = {m: cut(cluster_by(m, iso, edges, config), m) for m in c.methods}
-    voted = cut(consensus.consensus([by[m] for m in c.methods]).withColumn("cluster_id", F.col("cluster_id").cast("int")), "consensus")
-    arcs = cut(dag.temporal_dag(edges, iso, c.uncertainty_days), "dag")
-    scores = cut(centrality.centrality(arcs, iso, voted), "centrality")
-    stable = cut(bootstrap.bootstrap_stability(dist, iso, voted.select("isolate_id", "cluster_id"), c.bootstrap_n, c.random_state, t.snp_cutoff, t.day_cutoff, 1.0 if c.leiden_resolution == "auto" else float(c.leiden_resolution)), "stability")
+    edges = keep(graph.edges(dist, iso, t.snp_cutoff, t.day_cutoff, t.edge_weight_alpha, t.edge_weight_beta, t.edge_weight_gamma), "edges")
+    by = {m: keep(cluster_by(m, iso, edges, config), m) for m in c.methods}
+    voted = keep(consensus.consensus([by[m] for m in c.methods]).withColumn("cluster_id", F.col("cluster_id").cast("int")), "consensus")
+    arcs = keep(dag.temporal_dag(edges, iso, c.uncertainty_days), "dag")
+    scores = keep(centrality.centrality(arcs, iso, voted), "centrality")
+    stable = keep(bootstrap.bootstrap_stability(dist, iso, voted.select("isolate_id", "cluster_id"), c.bootstrap_n, c.random_state, t.snp_cutoff, t.day_cutoff, 1.0 if c.leiden_resolution == "auto" else float(c.leiden_resolution)), "stability")
     long = None
     for m in c.methods:
         one = by[m].select("isolate_id", F.lit(m).alias("method"), F.col("label").cast("int").alias("label"))
         long = one if long is None else long.unionByName(one)
-    return Result(iso, dist, edges, arcs, long, voted, scores, centrality.index_cases(scores, iso), stable, summary.cluster_summary(voted, iso, scores, stable), {"project": config.project_name, "methods": list(c.methods), "bootstrap_n": c.bootstrap_n})
+    return Result(iso, dist, edges, arcs, long, voted, scores, keep(centrality.index_cases(scores, iso), "index-cases"), stable, keep(summary.cluster_summary(voted, iso, scores, stable), "summary"), {"project": config.project_name, "methods": list(c.methods), "bootstrap_n": c.bootstrap_n})
 
 
 def write_results(r: Result, config: Config) -> None:
@@ -96,7 +101,7 @@ def write_html(r: Result, path: str, title: str, kpi: dict) -> None:
     clusters = summary.console_summary(r.summary).orderBy("cluster_id").limit(201)
     cases = r.index_cases.orderBy("cluster_id").limit(201)
     top = summary.top_risk(r.centrality)
-    bands = summary.timeline_bands(r.clusters, r.isolates).orderBy("band").limit(60)
+    bands = summary.timeline_bands(r.clusters, r.isolates).orderBy("band").limit(61)
     each = summary.method_counts(r.assignments).orderBy("method")
     part = lambda df: writers.table_html(df.collect(), df.columns)
     writers.write_report(path, title, kpi, [("Clusters", part(clusters)), ("Timeline", writers.timeline_svg(bands.collect())), ("Index cases", part(cases)), ("Highest risk", part(top)), ("Methods", part(each)), ("Agreement", part(summary.agreement_counts(r.clusters).orderBy("agreement_score")))])
@@ -106,7 +111,8 @@ def run(spark: SparkSession, config: Config) -> Result:
     """Loads, analyses and writes."""
     dist, iso = readers.load(spark, config.inputs.snp_matrix, config.inputs.epi_metadata, config.inputs.mlst_profiles)
     r = analyse(dist, iso, config)
-    write_results(r, config)
+    with scope():  # what only the results' files needed
+        write_results(r, config)
     return r
 
 

@@ -8,7 +8,7 @@ import os
 import zipfile
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,30 +30,60 @@ def save_graph(iso: DataFrame, edges: DataFrame, path: str) -> None:
 
 
 def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(isolates, edges) as saved."""
+    """(isolates, edges) as saved, from the folder of save_graph or from GraphML."""
+    if path.rstrip("/").endswith(".graphml"):
+        return load_graphml(spark, path)
     return spark.read.parquet(f"{path}/vertices"), spark.read.parquet(f"{path}/edges")
 
 
 _GRAPHML = {"int": "int", "bigint": "long", "double": "double", "boolean": "boolean"}
+_TYPES = {"int": "int", "long": "bigint", "float": "double", "double": "double", "boolean": "boolean"}
+
+
+def _escaped(c: Column) -> Column:
+    text = c.cast("string")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+def _elements(df: DataFrame, kind: str, ends: dict[str, str]) -> DataFrame:
+    """One line an element: its ends as attributes, its other columns that aren't null as data."""
+    head = F.concat(F.lit(f"<{kind}"), *[x for name, c in ends.items() for x in (F.lit(f' {name}="'), _escaped(F.col(c)), F.lit('"'))], F.lit(">"))
+    data = [F.coalesce(F.concat(F.lit(f'<data key="{kind[0]}_{c}">'), _escaped(F.col(c)), F.lit("</data>")), F.lit("")) for c in df.columns if c not in ends.values()]
+    return df.select(F.concat(head, *data, F.lit(f"</{kind}>")).alias("value"))
 
 
 def write_graphml(iso: DataFrame, edges: DataFrame, path: str, directed: bool = False) -> None:
-    """One GraphML file for other tools, row by row: only a partition at a time is held."""
-    text = lambda v: html.escape(str(v).lower() if isinstance(v, bool) else str(v))
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n')
-        for kind, df, skip in (("node", iso, ["isolate_id"]), ("edge", edges, ["src", "dst"])):
-            for c, t in df.dtypes:
-                if c not in skip:
-                    f.write(f'<key id="{kind[0]}_{c}" for="{kind}" attr.name="{c}" attr.type="{_GRAPHML.get(t, "string")}"/>\n')
-        f.write(f'<graph edgedefault="{"directed" if directed else "undirected"}">\n')
-        for r in iso.toLocalIterator():
-            data = "".join(f'<data key="n_{c}">{text(v)}</data>' for c, v in r.asDict().items() if c != "isolate_id" and v is not None)
-            f.write(f'<node id="{text(r["isolate_id"])}">{data}</node>\n')
-        for r in edges.toLocalIterator():
-            data = "".join(f'<data key="e_{c}">{text(v)}</data>' for c, v in r.asDict().items() if c not in ("src", "dst") and v is not None)
-            f.write(f'<edge source="{text(r["src"])}" target="{text(r["dst"])}">{data}</edge>\n')
-        f.write("</graph>\n</graphml>\n")
+    """A folder of text files which, one after the other in the order of their names, are one GraphML document.
+
+    Every task writes its own lines; only the head and the end come from the driver.
+    """
+    spark = iso.sparkSession
+    keys = [f'<key id="{kind[0]}_{c}" for="{kind}" attr.name="{c}" attr.type="{_GRAPHML.get(t, "string")}"/>' for kind, df, ends in (("node", iso, ["isolate_id"]), ("edge", edges, ["src", "dst"])) for c, t in df.dtypes if c not in ends]
+    head = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, f'<graph edgedefault="{"directed" if directed else "undirected"}">']
+    lines = lambda *text: spark.createDataFrame([("\n".join(text),)], "value string").coalesce(1)
+    lines(*head).write.mode("overwrite").text(f"{path}/1-head")
+    _elements(iso, "node", {"id": "isolate_id"}).write.mode("overwrite").text(f"{path}/2-nodes")
+    _elements(edges, "edge", {"source": "src", "target": "dst"}).write.mode("overwrite").text(f"{path}/3-edges")
+    lines("</graph>", "</graphml>").write.mode("overwrite").text(f"{path}/4-end")
+
+
+def load_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(isolates, edges) of a GraphML file or of a folder as write_graphml leaves it; columns have the types of its keys."""
+    read = lambda tag, schema: spark.read.schema(schema).option("rowTag", tag).option("recursiveFileLookup", "true").xml(path)
+    data = "data array<struct<_VALUE: string, _key: string>>"
+    keys = read("key", "_id string, `_attr.name` string, `_attr.type` string, _for string").select("_id", F.col("`_attr.name`").alias("name"), F.col("`_attr.type`").alias("type"), F.col("_for").alias("kind")).distinct().orderBy("_id").collect()  # one a column
+
+    def value(key: str) -> Column:
+        return F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
+
+    def columns(kind: str) -> list[Column]:
+        return [value(k["_id"]).cast(_TYPES.get(k["type"], "string")).alias(k["name"]) for k in keys if k["kind"] in (kind, "all")]
+
+    nodes = read("node", f"_id string, {data}").select(F.col("_id").alias("isolate_id"), *columns("node"))
+    edges = read("edge", f"_source string, _target string, {data}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), *columns("edge"))
+    return nodes, edges
 
 
 def cache_key(seqs: DataFrame) -> str:
@@ -85,14 +115,15 @@ def table_html(rows: Iterable, columns: list[str], limit: int = 200) -> str:
 
 
 def timeline_svg(bands: list, limit: int = 60) -> str:
-    """Bars of the first clusters over time."""
+    """Bars of the first clusters over time, at most limit of them, with a note where there are more."""
+    more = f"<p>The first {limit} clusters.</p>" if len(bands) > limit else ""
     bands = bands[:limit]
     if not bands:
         return ""
     low, high = min(b["first_day"] for b in bands), max(b["last_day"] for b in bands)
     scale = 700 / max(1, (high - low).days)
     bars = "".join(f'<rect x="{100 + (b["first_day"] - low).days * scale:.1f}" y="{i * 16 + 3}" width="{max(2, (b["last_day"] - b["first_day"]).days * scale):.1f}" height="10" fill="#4477aa"/><text x="4" y="{i * 16 + 12}" font-size="10">{html.escape(str(b["cluster_id"]))} ({b["n_isolates"]})</text>' for i, b in enumerate(bands))
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="820" height="{16 * len(bands) + 8}">{bars}</svg>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="820" height="{16 * len(bands) + 8}">{bars}</svg>{more}'
 
 
 def write_report(path: str, title: str, kpi: dict, sections: list[tuple[str, str]]) -> None:

@@ -17,7 +17,7 @@ from strainweave.functions.weights import composite_weight, st_mismatch
 from strainweave.operators.centrality import path_centrality
 from strainweave.operators.community import leiden
 from strainweave.operators.components import connected_components
-from strainweave.plans.shared import cut
+from strainweave.plans.shared import cut, scope
 
 #: The messages' columns.
 MESSAGE = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("isolate_id", T.StringType()), T.StructField("collection_date", T.StringType()), T.StructField("facility", T.StringType()), T.StructField("ward", T.StringType()), T.StructField("sequence_type", T.StringType()), T.StructField("snp_distances", T.MapType(T.StringType(), T.DoubleType())), T.StructField("received_at", T.TimestampNTZType())])
@@ -90,12 +90,22 @@ def updates(new: DataFrame, edges: DataFrame, known_edges: DataFrame, known_clus
 
     All isolates are clustered anew with the new edges. A cluster is new if no cluster had its label before. The score
     is the isolate's betweenness over the largest of its component, without direction; 0 in a component without edges.
+    Only components that hold a new isolate are measured.
     """
+    with scope() as keep:
+        update, clusters = _updates(new, edges, known_edges, known_clusters, iso, threshold)
+        return keep(update, "updates"), keep(clusters, "clusters")
+
+
+def _updates(new: DataFrame, edges: DataFrame, known_edges: DataFrame, known_clusters: DataFrame, iso: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     e = cut(known_edges.select("src", "dst", "composite_weight").unionByName(edges.select(F.least("source", "target").alias("src"), F.greatest("source", "target").alias("dst"), "composite_weight")), "all-edges")
     everyone = cut(iso.select("isolate_id").union(new.select("isolate_id")).distinct(), "all-isolates")
     label = cut(leiden(everyone, e), "labels-of-all")
-    between = path_centrality(e.select("src", "dst", F.col("composite_weight").alias("w")), everyone.select(F.col("isolate_id").alias("node")), directed=False)
     comp = connected_components(everyone.select(F.col("isolate_id").alias("node")), e)
+    touched = new.select(F.col("isolate_id").alias("node")).join(comp, "node").select("component").distinct()
+    comp = cut(comp.join(touched, "component", "left_semi"), "touched")
+    arcs = e.join(comp.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst", F.col("composite_weight").alias("w"))
+    between = cut(path_centrality(arcs, comp.select("node"), directed=False), "between")
     most = between.join(comp, "node").groupBy("component").agg(F.max("betweenness").alias("most"))
     score = between.join(comp, "node").join(most, "component").select(F.col("node").alias("isolate_id"), F.when(F.col("most") > 0, F.col("betweenness") / F.col("most")).otherwise(0.0).alias("centrality_score"))
     known = known_clusters.select(F.col("cluster").alias("community")).distinct().withColumn("was", F.lit(True))

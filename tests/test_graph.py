@@ -1,3 +1,4 @@
+import math
 import random
 from datetime import date, timedelta
 
@@ -123,15 +124,25 @@ def brute_betweenness(ids, arcs, directed):
     return got if directed else {k: v / 2 for k, v in got.items()}
 
 
-@pytest.mark.parametrize("directed", [True, False])
-@pytest.mark.parametrize("block", [3, 500])
-def test_betweenness_as_all_simple_paths(spark, directed, block):
+@pytest.mark.parametrize(("directed", "block", "whole"), [(True, 3, 10**6), (False, 3, 10**6), (True, 500, 10**6), (True, 500, 0)])
+def test_betweenness_as_all_simple_paths(spark, directed, block, whole):
     rng = random.Random(3)
     ids = [f"n{i}" for i in range(9)]
     arcs = [(a, b, rng.choice([0.0, 1.0, 1.0, 2.0])) for i, a in enumerate(ids[:8]) for b in ids[i + 1 : 8] if rng.random() < 0.45]
     df, nodes = spark.createDataFrame(arcs, "src string, dst string, w double"), spark.createDataFrame([(i,) for i in ids], "node string")
-    got = {r.node: r.betweenness for r in centrality.path_centrality(df, nodes, directed, block).collect()}
+    rows = centrality.path_centrality(df, nodes, directed, block, whole, 40).collect()
+    got = {r.node: r.betweenness for r in rows}
     want = brute_betweenness(ids, arcs, directed)
+    apart = {a: {b: 0.0 if a == b else math.inf for b in ids} for a in ids}
+    for a, b, w in arcs:
+        apart[a][b] = apart[b][a] = max(w, 1e-6)
+    for m in ids:
+        for a in ids:
+            for b in ids:
+                apart[a][b] = min(apart[a][b], apart[a][m] + apart[m][b])
+    for r in rows:
+        near = [d for b, d in apart[r.node].items() if b != r.node and d < math.inf]
+        assert abs(r.closeness - (len(near) / sum(near) if near else 0.0)) < 1e-6
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in ids)
 
 
@@ -195,13 +206,106 @@ def test_communities_are_moved_until_none_wants_to(spark):
     assert all(1 - gamma * x * y / (2 * (n - 1)) <= 1e-9 for x, y in zip(mass, mass[1:]))  # no two neighbours should be one
 
 
+def test_communities_by_rounds_and_by_arrays(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in (0, 1):
+        for i in range(18):
+            for j in range(i):
+                if rng.random() < (0.5 if i % 3 == j % 3 and i % 2 == j % 2 else 0.06):
+                    rows.append((g, f"n{j:02d}", f"n{i:02d}", rng.choice([0.4, 0.7, 1.0])))
+    e = spark.createDataFrame(rows, "g int, src string, dst string, w double")
+    nodes = spark.createDataFrame([(g, f"n{i:02d}") for g in (0, 1) for i in range(18)] + [(0, "x"), (0, "x")], "g int, node string")
+    graphs = spark.createDataFrame([(0, 1.0), (1, 1.5)], "g int, gamma double")
+    arrays = sorted(map(tuple, community.communities(nodes, e, graphs).collect()))
+    assert arrays == sorted(map(tuple, community.communities(nodes, e, graphs, unit=0).collect()))
+    assert len(arrays) == 37 and (0, "x", "x") in arrays and len({r[2] for r in arrays}) < 19
+
+
+def greedy_modularity(n, pairs):
+    """Modularity of a sequential greedy run: moves in random order until none gains, then merging, again and again."""
+    rng, two_m = random.Random(1), 2 * sum(w for *_, w in pairs)
+    near = [{} for _ in range(n)]
+    for a, b, w in pairs:
+        near[a][b] = near[b][a] = w
+    within = 0.0
+    mass = [sum(x.values()) for x in near]
+    while True:
+        c, held = list(range(len(near))), list(mass)
+        going = any_moved = True
+        while going:
+            going, order = False, list(range(len(near)))
+            rng.shuffle(order)
+            for i in order:
+                to = {c[i]: 0.0}
+                for j, w in near[i].items():
+                    to[c[j]] = to.get(c[j], 0.0) + w
+                held[c[i]] -= mass[i]
+                best = max(to, key=lambda x: (to[x] - mass[i] * held[x] / two_m, x == c[i]))
+                going |= best != c[i]
+                c[i] = best
+                held[best] += mass[i]
+        names = sorted(set(c))
+        if len(names) == len(near):
+            return within / two_m - sum(m * m for m in mass) / two_m**2
+        at, merged, total = {x: k for k, x in enumerate(names)}, [{} for _ in names], [0.0] * len(names)
+        for i, x in enumerate(near):
+            total[at[c[i]]] += mass[i]
+            for j, w in x.items():
+                if c[i] == c[j]:
+                    within += w
+                else:
+                    merged[at[c[i]]][at[c[j]]] = merged[at[c[i]]].get(at[c[j]], 0.0) + w
+        near, mass = merged, total
+
+
+@pytest.mark.parametrize(("n", "k", "inner", "outer"), [(1600, 20, 0.15, 0.006), (1000, 5, 0.03, 0.01)])
+def test_communities_are_as_good_as_a_sequential_run(spark, n, k, inner, outer):
+    rng = np.random.default_rng(n)
+    truth = rng.integers(0, k, n)
+    a, b = np.triu_indices(n, 1)
+    there = rng.random(len(a)) < np.where(truth[a] == truth[b], inner, outer)
+    pairs = [(int(x), int(y), round(math.exp(-z), 6)) for x, y, z in zip(a[there], b[there], rng.uniform(0.1, 0.9, there.sum()))]
+    e = spark.createDataFrame([(0, f"n{x:04d}", f"n{y:04d}", w) for x, y, w in pairs], "g int, src string, dst string, w double")
+    nodes = spark.createDataFrame([(0, f"n{i:04d}") for i in range(n)], "g int, node string")
+    found = community.communities(nodes, e, spark.createDataFrame([(0, 1.0)], "g int, gamma double"))
+    got = community.modularity(e, found).first().modularity
+    planted = community.modularity(e, nodes.join(spark.createDataFrame([(f"n{i:04d}", int(c)) for i, c in enumerate(truth)], "node string, community int"), "node")).first().modularity
+    assert got >= greedy_modularity(n, pairs) - 1e-6 and got >= planted - 0.01
+
+
 def test_spectral_blocks(spark):
     truth, iso, e = planted(spark)
     got = {r.isolate_id: r.cluster for r in spectral.spectral(iso, e).collect()}
     assert got["alone"] == "alone" and len({(got[n], truth[n]) for n in truth}) == 3
+    rounds = {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e, dense=4).collect()}
+    assert rounds == {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e).collect()}
     inside = e.filter("composite_weight < 1")
-    cut = {r.isolate_id: r.cluster for r in spectral.spectral(iso, inside, dense=4).collect()}
-    assert len({(cut[n], truth[n]) for n in truth}) == 3
+    apart = {r.isolate_id: r.cluster for r in spectral.spectral(iso, inside, k=3).collect()}
+    assert len({(apart[n], truth[n]) for n in truth}) == 3
+    assert len({r.cluster for r in spectral.spectral(iso, e, k=5).collect()}) in (4, 5, 6, 7)
+
+
+def test_eigengap_rule(spark):
+    rng = np.random.default_rng(2)
+    values = {f"b{n}": np.sort(rng.choice([0.0, 0.1, 0.5, 0.9, 1.0, 1.4], n)) for n in range(1, 20)}
+    rows = [(b, float(x)) for b, v in values.items() for x in v] + [("b4", None), ("b5", float("nan"))]
+    got = {r.block: (r.k, r.gap) for r in spectral.eigengap_k(spark.createDataFrame(rows, "block string, value double")).collect()}
+    assert {b: k for b, (k, _) in got.items()} == {b: spectral.eigengap(v) for b, v in values.items()}
+    assert all(abs(g - (values[b][k] - values[b][k - 1])) < 1e-12 for b, (k, g) in got.items() if len(values[b]) > 2)
+
+
+def test_spectral_of_a_component_of_two_thousand(spark):
+    rng = np.random.default_rng(7)
+    truth = rng.integers(0, 5, 2000)
+    a, b = np.triu_indices(2000, 1)
+    there = rng.random(len(a)) < np.where(truth[a] == truth[b], 0.06, 0.001)
+    pairs = [(f"n{x:04d}", f"n{y:04d}", 0.3) for x, y in zip(a[there], b[there])]
+    e = spark.createDataFrame(pairs, "src string, dst string, composite_weight double")
+    iso = spark.createDataFrame([(f"n{i:04d}",) for i in range(2000)], "isolate_id string")
+    got = {r.isolate_id: r for r in spectral.spectral(iso, e).collect()}
+    assert {r.k for r in got.values()} == {5} and len({r.cluster for r in got.values()}) == 5
+    assert sum(len({truth[int(n[1:])] for n in got if got[n].cluster == c}) for c in {r.cluster for r in got.values()}) == 5
 
 
 def test_matching_and_consensus(spark):
@@ -241,9 +345,14 @@ def test_sequences(spark):
         hamming.check_sequences(spark.createDataFrame([("A", "AC"), ("B", "A")], "isolate_id string, seq string"))
     words = [(i, random.Random(i).getrandbits(64) - 2**63) for i in range(60)] + [(100, -1), (101, -2), (102, 0), (103, -(2**63))]
     df = spark.createDataFrame(words, "n long, word long")
-    for most in (0, 5, 20):
+    for most in (0, 3, 5, 15, 20, 63):
         want = {(a, b): bin((x ^ y) & (2**64 - 1)).count("1") for a, x in words for b, y in words if a < b}
         assert {(r.src, r.dst): r.distance for r in hamming.close_words(df, "n", most).collect()} == {k: d for k, d in want.items() if d <= most}
+    assert [sum(math.comb(h - low, i) for low, h, r in hamming.probe_plan(15) for i in range(r + 1))] == [2788] and hamming.probe_plan(0) == [(0, 64, 0)]
+    copies = spark.createDataFrame([*words, (200, words[0][1]), (201, words[0][1])], "n long, word long")
+    both = [*words, (200, words[0][1]), (201, words[0][1])]
+    want = sorted((a, b, bin((x ^ y) & (2**64 - 1)).count("1")) for a, x in both for b, y in both if a < b)
+    assert sorted(map(tuple, hamming.close_rows(copies, "n", 26).collect())) == [w for w in want if w[2] <= 26]
 
 
 def test_copies_are_members_not_pairs(spark):

@@ -31,12 +31,19 @@ def _numbered(nodes: DataFrame) -> DataFrame:
     return cut(nodes.orderBy("id").select("id", F.monotonically_increasing_id().alias("n")), "nodes")
 
 
-def _moves(edges: DataFrame, by: str, least: DataFrame, heavy_rows: int) -> DataFrame:
-    """edges with `m`, the minimum that `least` (columns by, m, n_edges) has for their end `by`; at most MAX_HEAVY of them are broadcast."""
-    few = cut(least.filter(F.col("n_edges") >= heavy_rows).orderBy(F.desc("n_edges"), by).limit(MAX_HEAVY).select(by, "m"), "heavy-nodes")
+def _moves(edges: DataFrame, by: str, least: DataFrame, heavy_rows: int) -> tuple[DataFrame, Written]:
+    """edges with `m`, the minimum that `least` (columns by, m, n_edges) has for their end `by`; and the written minima.
+
+    The minima are aggregated once. Where any node is heavy, the edges of at most MAX_HEAVY such nodes meet a broadcast.
+    """
+    seen = Observation()
+    minima = write_step(least.observe(seen, F.count_if(F.col("n_edges") >= heavy_rows).alias("heavy")), "minima")
+    if not seen.get["heavy"]:
+        return edges.join(minima.df.select(by, "m"), by), minima
+    few = minima.df.filter(F.col("n_edges") >= heavy_rows).orderBy(F.desc("n_edges"), by).limit(MAX_HEAVY).select(by, "m")
     hot = edges.join(F.broadcast(few), by)
-    cold = edges.join(F.broadcast(few.select(by)), by, "left_anti").join(least.select(by, "m"), by, "left")
-    return hot.unionByName(cold)
+    cold = edges.join(F.broadcast(few.select(by)), by, "left_anti").join(minima.df.select(by, "m"), by)
+    return hot.unionByName(cold), minima
 
 
 def _step(moved: DataFrame, edges: DataFrame, name: str) -> tuple[Written, int]:
@@ -48,21 +55,21 @@ def _step(moved: DataFrame, edges: DataFrame, name: str) -> tuple[Written, int]:
     return written, seen.get["changed"]
 
 
-def large_star(edges: DataFrame, heavy_rows: int) -> DataFrame:
-    """(lo, hi, changed): every edge hangs on the smallest neighbour of its lower end."""
+def large_star(edges: DataFrame, heavy_rows: int) -> tuple[DataFrame, Written]:
+    """(lo, hi, changed): every edge hangs on the smallest neighbour of its lower end; and the minima that it reads."""
     both = edges.select(F.col("lo").alias("lo"), F.col("hi").alias("other")).unionByName(edges.select(F.col("hi").alias("lo"), F.col("lo").alias("other")))
     least = both.groupBy("lo").agg(F.min("other").alias("m"), F.count("*").alias("n_edges"))
-    moved = _moves(edges, "lo", least, heavy_rows)
+    moved, minima = _moves(edges, "lo", least, heavy_rows)
     m = F.least("m", "lo")
-    return moved.select(m.alias("lo"), "hi", (m != F.col("lo")).alias("changed"))
+    return moved.select(m.alias("lo"), "hi", (m != F.col("lo")).alias("changed")), minima
 
 
-def small_star(edges: DataFrame, heavy_rows: int) -> DataFrame:
-    """(lo, hi, changed): the lower neighbours of a node, and the node, hang on the smallest of them."""
+def small_star(edges: DataFrame, heavy_rows: int) -> tuple[DataFrame, Written]:
+    """(lo, hi, changed): the lower neighbours of a node, and the node, hang on the smallest of them; and the minima that it reads."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n_edges"))
-    moved = _moves(edges, "hi", least, heavy_rows)
+    moved, minima = _moves(edges, "hi", least, heavy_rows)
     ends = F.when(F.col("lo") == F.col("m"), F.array("hi")).otherwise(F.array("hi", "lo"))
-    return moved.select(F.col("m").alias("lo"), F.explode(ends).alias("hi"), (F.col("lo") != F.col("m")).alias("changed"))
+    return moved.select(F.col("m").alias("lo"), F.explode(ends).alias("hi"), (F.col("lo") != F.col("m")).alias("changed")), minima
 
 
 def star_edges(edges: DataFrame, heavy_rows: int = HEAVY_ROWS, max_rounds: int = 100) -> DataFrame:
@@ -76,8 +83,10 @@ def star_edges(edges: DataFrame, heavy_rows: int = HEAVY_ROWS, max_rounds: int =
     for k in range(max_rounds):
         total = 0
         for star in (large_star, small_star):
-            after, changed = _step(star(now.df, heavy_rows), now.df, f"stars-{k}")
+            moved, minima = star(now.df, heavy_rows)
+            after, changed = _step(moved, now.df, f"stars-{k}")
             now.drop()
+            minima.drop()
             now, total = after, total + changed
         if not total:
             return now.df

@@ -32,11 +32,12 @@ def uniform(doc_id: Column, seed: int) -> Column:
 
 def poisson_steps(rate: float, most: int) -> list[float]:
     """P(X <= k) for k = 0 .. most - 1 of a Poisson number X with that mean."""
-    p, total, out = math.exp(-rate), 0.0, []
-    for k in range(most):
-        total += p
-        out.append(total)
-        p *= rate / (k + 1)
+    if rate <= 0:
+        return [1.0] * most
+    total, out = 0.0, []
+    for k in range(most):  # in logarithms: exp(-rate) alone is 0 from 745 on
+        total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        out.append(min(total, 1.0))
     return out
 
 
@@ -53,12 +54,13 @@ def _targets(targets: DataFrame) -> list:
 
 
 def _summed(sized: DataFrame, grids: dict[str, list[list[float]]]) -> dict[str, list[int]]:
-    """Tokens per source for each of its rates; sources are few, so the sums are."""
+    """Tokens per source for each of its rates: one sum a rate, combined in every map task; sources are few, so the sums are."""
     steps = sized.sparkSession.createDataFrame(list(grids.items()), "source string, grid array<array<double>>")
-    g = sized.join(F.broadcast(steps), "source").select("source", "n_tokens", F.posexplode(F.transform("grid", lambda s: copies(F.col("u"), s))).alias("i", "k"))
+    g = sized.join(F.broadcast(steps), "source")
+    sums = g.groupBy("source").agg(*[F.sum(F.col("n_tokens") * copies(F.col("u"), F.get("grid", F.lit(i)))).alias(f"t{i}") for i in range(GRID + 1)])
     out = {s: [0] * len(v) for s, v in grids.items()}
-    for r in g.groupBy("source", "i").agg(F.sum(F.col("n_tokens") * F.col("k")).alias("t")).collect():
-        out[r.source][r.i] = r.t
+    for r in sums.collect():
+        out[r.source] = [r[f"t{i}"] or 0 for i in range(len(out[r.source]))]
     return out
 
 
@@ -94,8 +96,8 @@ def _steps(docs: DataFrame, plans: list[dict]) -> DataFrame:
     return F.broadcast(docs.sparkSession.createDataFrame([(p["source"], p["steps"]) for p in plans], "source string, steps array<double>"))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, path: str | None = None) -> DataFrame:
-    """(doc_id, source, copy_no, position_key, text): the mixture in global random order.
+def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, path: str | None = None, name: str = tokens.NAME) -> DataFrame:
+    """(doc_id, source, copy_no, position_key, tokenizer, text): the mixture in global random order, named with the tokenizer.
 
     How often a document is used follows from its hash and its source's rate, so texts meet the small broadcast table
     of rates and travel once, in the sort by position_key (a hash of seed, doc_id and copy), range-partitioned over all
@@ -103,16 +105,16 @@ def mixture(docs: DataFrame, targets: DataFrame, seed: int = 17, path: str | Non
     no tokens and are repeated like others. Rows repeated under one doc_id are repeated alike. Empty input gives an
     empty mixture.
     """
-    _, plans = plan(docs, targets, seed, path)
+    _, plans = plan(docs, targets, seed, path or tokens.vocabulary(name))
     texts = docs.select("doc_id", clean_name(F.col("source")).alias("source"), "text").join(_steps(docs, plans), "source")
     k = texts.withColumn("k", copies(uniform(F.col("doc_id"), seed), F.col("steps"))).filter("k > 0")
     rows = k.select("doc_id", "source", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("copy_no"), "text")
-    return rows.select("doc_id", "source", "copy_no", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no").alias("position_key"), "text").orderBy("position_key", "doc_id", "copy_no")
+    return rows.select("doc_id", "source", "copy_no", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no").alias("position_key"), F.lit(name).alias("tokenizer"), "text").orderBy("position_key", "doc_id", "copy_no")
 
 
 def shares(docs: DataFrame, targets: DataFrame, seed: int = 17, path: str | None = None, name: str = tokens.NAME) -> DataFrame:
     """Per source of the targets the tokens and share aimed at and reached, named with the tokenizer."""
-    sized, plans = plan(docs, targets, seed, path)
+    sized, plans = plan(docs, targets, seed, path or tokens.vocabulary(name))
     used = sized.join(_steps(docs, plans), "source").withColumn("k", copies(F.col("u"), F.col("steps"))).groupBy("source").agg(F.sum(F.col("k") * F.col("n_tokens")).alias("actual_tokens"), F.count_if(F.col("k") > 0).alias("n_used"), F.count("*").alias("n_documents"), F.max("k").alias("most_copies"))
     schema = "source string, target_share double, target_tokens bigint, source_tokens bigint, max_repeats int, rate double"
     wanted = docs.sparkSession.createDataFrame([(p["source"], p["target_share"], p["target_tokens"], p["source_tokens"], p["max_repeats"], p["rate"]) for p in plans], schema)

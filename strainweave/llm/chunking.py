@@ -18,29 +18,42 @@ from pyspark.sql import functions as F
 
 from strainweave.llm import tokens
 
-#: Characters that end a sentence, where white space or another text without spaces follows, and marks that close after them.
-_STOPS, _WIDE_STOPS, _CLOSERS = frozenset(".!?…"), frozenset("。！？"), frozenset("\"')]}”’»」")
+# Characters that end a sentence, where white space or another text without spaces follows, and marks that close after them.
+_STOPS, _WIDE_STOPS, _CLOSERS = (np.array([ord(c) for c in x], dtype=np.uint32) for x in (".!?…", "。！？", "\"')]}”’»」"))
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], dtype=np.uint32)
 #: Most tokens that a look-back grows by where it would begin inside a character (UTF-8 has four bytes at most).
 _SLACK = 3
 
 
-def _boundary(text: str, at: int) -> str:
-    """What lies between text[:at] and text[at:]."""
-    if at >= len(text):
-        return "P"
-    before, after = text[at - 1], text[at]
-    if before == "\n" and not after.isspace():
-        k = at - 1
-        while k and text[k - 1].isspace() and text[k - 1] != "\n":
-            k -= 1
-        return "P" if k and text[k - 1] == "\n" else "S"
-    k = at
-    while k and text[k - 1] in _CLOSERS:
-        k -= 1
-    stop = text[k - 1] if k else ""
-    if after.isspace() and stop in _STOPS or stop in _WIDE_STOPS and after not in _CLOSERS:
-        return "S"
-    return "W" if after.isspace() != before.isspace() else "c"
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+
+
+def _last(at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """For every position the last one up to it where `at` holds; a kind: what stands there, 0 where there is none."""
+    place = np.maximum.accumulate(np.where(at, np.arange(len(at)), -1))
+    return np.where(place >= 0, kinds[place], 0)
+
+
+def boundaries(text: str) -> np.ndarray:
+    """For every offset 1 to len(text) what lies between the text before and after it: P, S, W or c, as bytes.
+
+    All offsets are told at once, by arrays over the code points.
+    """
+    c = _code_points(text)
+    if not len(c):
+        return np.zeros(0, dtype="S1")
+    space, closer = np.isin(c, _SPACES), np.isin(c, _CLOSERS)
+    newline = c == 10
+    before, after, after_space = c[:-1], c[1:], space[1:]
+    # the last character before a newline's own that isn't other white space, and the last that isn't a closing mark
+    ahead = np.concatenate([np.zeros(1, np.uint32), _last(~space | newline, c)[:-1]])
+    stop = _last(~closer, c)[:-1]
+    ends = np.isin(stop, _STOPS) & after_space | np.isin(stop, _WIDE_STOPS) & ~np.isin(after, _CLOSERS)
+    out = np.where(space[:-1] != after_space, b"W", b"c")
+    out = np.where(ends, b"S", out)
+    out = np.where((before == 10) & ~after_space, np.where(ahead[:-1] == 10, b"P", b"S"), out)
+    return np.append(out, b"P")
 
 
 def shadow_of(text: str, path: str, limit: int) -> tuple[str | None, np.ndarray | None]:
@@ -56,7 +69,8 @@ def shadow_of(text: str, path: str, limit: int) -> tuple[str | None, np.ndarray
     chars = np.cumsum(starts_char) - 1  # code points before each byte
     whole = starts_char[ends]
     offsets = chars[ends] + ~whole
-    return "".join(_boundary(text, int(o)) if w else "x" for o, w in zip(offsets, whole)), offsets.astype(np.int32)
+    letters = np.where(whole, boundaries(text)[np.maximum(offsets, 1) - 1], b"x")
+    return letters.tobytes().decode("ascii"), offsets.astype(np.int32)
 
 
 def shadows(text: Column, path: str, limit: int) -> Column:
@@ -83,8 +97,8 @@ def piece_pattern(limit: int, overlap: int, slack: int = 0) -> str:
     return rf"(?:\A(?:{take(limit)}))|(?:{take(later)})"
 
 
-def split_texts(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece_no, token_from, token_to, start_at, end_at, n_tokens, piece) of every text of more than limit tokens.
+def split_texts(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str | None = None, doc_id: str = "doc_id", text: str = "text", name: str = tokens.NAME) -> DataFrame:
+    """(doc_id, piece_no, token_from, token_to, start_at, end_at, n_tokens, tokenizer, piece) of every text of more than limit tokens.
 
     Pieces are numbered from 1, have at most limit tokens, and cover the text: each begins exactly overlap tokens before
     the end of the one before (up to three more where that lies inside a character) and all of start_at and end_at are
@@ -92,7 +106,7 @@ def split_texts(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str
     at such a boundary anywhere, then at any whole character. Texts of up to limit tokens, empty and null ones give no
     pieces. Rows repeated under one doc_id are split alike.
     """
-    path = path or tokens.vocabulary()
+    path = path or tokens.vocabulary(name)
     long = docs.select(doc_id, F.col(text).alias("text")).filter(F.octet_length("text") > limit)  # a token has a byte at least
     # a generator of one element: the filter after it does not have the texts tokenized again
     s = long.select(doc_id, "text", F.explode(F.array(shadows(F.col("text"), path, limit))).alias("s")).select(doc_id, "text", "s.shadow", "s.ends").filter("shadow is not null")
@@ -116,4 +130,4 @@ def split_texts(docs: DataFrame, limit: int = 512, overlap: int = 64, path: str
 
     s = s.select(doc_id, "text", F.explode(F.array(F.transform("to", piece))).alias("p"))
     s = s.select(doc_id, F.explode(F.transform("p", lambda p: F.struct(p.piece_no.alias("piece_no"), p.token_from.alias("token_from"), p.token_to.alias("token_to"), p.start_at.alias("start_at"), p.end_at.alias("end_at"), F.substring(F.col("text"), p.start_at + 1, p.end_at - p.start_at).alias("piece")))).alias("p"))
-    return s.select(doc_id, "p.piece_no", "p.token_from", "p.token_to", "p.start_at", "p.end_at", (F.col("p.token_to") - F.col("p.token_from")).alias("n_tokens"), "p.piece")
+    return s.select(doc_id, "p.piece_no", "p.token_from", "p.token_to", "p.start_at", "p.end_at", (F.col("p.token_to") - F.col("p.token_from")).alias("n_tokens"), F.lit(name).alias("tokenizer"), "p.piece")

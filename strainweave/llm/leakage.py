@@ -22,8 +22,13 @@ _WORD = re.compile(r"[^\W_]+")
 # Characters that are removed (zero-width space and joiners, byte order mark, soft hyphen).
 _REMOVED = dict.fromkeys([0x200B, 0x200C, 0x200D, 0xFEFF, 0x00AD])
 
-#: Most characters of evaluation texts in one automaton (about 100 MB a worker); more texts are spread over several, each scanning the text once.
+#: Most characters of evaluation texts in one automaton (about 100 MB a worker). A larger set is cut into several, which a
+#: worker holds one at a time.
 BLOCK_CHARS = 2_000_000
+#: Most characters of evaluation texts altogether: they are broadcast. More is an error.
+MAX_CHARS = 200_000_000
+#: Characters of documents that a worker gathers before it turns to the next automaton, where there are several.
+CHUNK_CHARS = 64_000_000
 
 
 def normal_text(text: str) -> str:
@@ -108,38 +113,67 @@ class Items:
 
 
 _BUILT: dict[str, Items] = {}
+_HIT = ["doc_id", "eval_id", "n_words", "start_at", "end_at", "passage"]
+
+
+def _automaton(key: str, items: list[tuple[int, str]], run: int) -> Items:
+    """The automaton of one block; workers are used again, so the last one is kept."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Items(items, run)
+    return _BUILT[key]
 
 
 def _scanner(shared, run: int):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = shared.value["key"]
-        if key not in _BUILT:  # workers are used again: one automaton a worker
-            _BUILT.clear()
-            _BUILT[key] = Items(shared.value["items"], run)
-        items = _BUILT[key]
+        key, blocks = shared.value["key"], shared.value["blocks"]
+
+        def hits(chunk: list[pd.DataFrame]) -> pd.DataFrame:
+            rows = []
+            for n, block in enumerate(blocks):
+                items = _automaton(f"{key}-{n}", block, run)
+                rows += [(d, *leak, t[leak[2] : leak[3]]) for batch in chunk for d, t in zip(batch["doc_id"], batch["text"]) for leak in items.leaks(t)]
+            return pd.DataFrame(rows, columns=_HIT)
+
+        chunk, size = [], 0
         for batch in batches:
-            rows = [(d, *leak) for d, t in zip(batch["doc_id"], batch["text"]) for leak in items.leaks(t)]
-            yield pd.DataFrame(rows, columns=["doc_id", "eval_id", "n_words", "start_at", "end_at"])
+            chunk.append(batch)
+            size += int(batch["text"].str.len().sum())
+            if len(blocks) == 1 or size >= CHUNK_CHARS:
+                yield hits(chunk)
+                chunk, size = [], 0
+        if chunk:
+            yield hits(chunk)
 
     return scan
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, eval_id, n_words, start_at, end_at): the longest run that a document shares with an item.
+def _blocks(items: list[tuple[int, str]], block_chars: int) -> list[list[tuple[int, str]]]:
+    """items in blocks of at most block_chars characters; an item longer than that is a block of its own."""
+    blocks, size = [[]], 0
+    for k, text in items:
+        if blocks[-1] and size + len(text) > block_chars:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((k, text))
+        size += len(text)
+    return blocks
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, run: int = 12, block_chars: int = BLOCK_CHARS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(doc_id, eval_id, n_words, start_at, end_at, passage): the longest run that a document shares with an item.
 
     A leak is a run of `run` consecutive words, or the whole item where it has fewer. start_at and end_at are code point
-    offsets of the document's text. Null and wordless texts leak nothing; an item without an id or words is no pattern; repeated
-    rows come out as often as they go in. The items, a fixed evaluation set, are broadcast in blocks of at most
-    block_chars characters (their sum is checked first); the documents are never gathered.
+    offsets of the document's text, passage is what stands there. Null and wordless texts leak nothing; an item without
+    an id or words is no pattern; repeated rows come out as often as they go in. The documents are read once, whatever
+    the items' size, and never gathered. The items, a fixed evaluation set, are broadcast: their sum is checked first,
+    and more than max_chars characters are an error. Up to block_chars make one automaton.
     """
     spark = docs.sparkSession
-    total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
-    blocks = int(total // block_chars) + 1
-    out = None
-    for b in range(blocks):
-        block = items.filter(F.col("text").isNotNull() & F.col("eval_id").isNotNull() & (F.pmod(F.xxhash64("eval_id"), F.lit(blocks)) == b)).select("eval_id", "text")
-        shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "items": [(r.eval_id, r.text) for r in block.collect()]})
-        hits = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInPandas(_scanner(shared, run), "doc_id string, eval_id bigint, n_words int, start_at int, end_at int")
-        hits = hits.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # as text on the way: nulls would make it a float
-        out = hits if out is None else out.unionByName(hits)
-    return out
+    used = items.filter(F.col("text").isNotNull() & F.col("eval_id").isNotNull()).select("eval_id", "text")
+    total = used.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    if total > max_chars:
+        raise ValueError(f"evaluation texts of {total} characters: more than {max_chars} cannot be broadcast, give them in several calls")
+    shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "blocks": _blocks([(r.eval_id, r.text) for r in used.collect()], block_chars)})
+    hits = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").filter("text is not null").mapInPandas(_scanner(shared, run), "doc_id string, eval_id bigint, n_words int, start_at int, end_at int, passage string")
+    return hits.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))  # as text on the way: nulls would make it a float

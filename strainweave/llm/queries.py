@@ -85,9 +85,7 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 @query("p6_passages")
 def p6_passages(spark: SparkSession, folder: str) -> DataFrame:
     """The longest leaked passage of each document and item, as it stands in the text."""
-    docs = table(spark, folder, "documents")
-    hits = leakage.find_leaks(docs, table(spark, folder, "eval_items"))
-    return hits.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "eval_id", "n_words", "start_at", "end_at", F.substring(F.col("text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")).alias("passage"))
+    return leakage.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
 @query("p6_leaked_items")

@@ -111,7 +111,7 @@ def test_leaks_as_all_runs(spark):
     for r in got:
         passage = plain_words(texts[r.doc_id][r.start_at : r.end_at])
         v = plain_words(by[r.eval_id])
-        assert len(passage) == r.n_words and any(v[x : x + r.n_words] == passage for x in range(len(v)))
+        assert r.passage == texts[r.doc_id][r.start_at : r.end_at] and len(passage) == r.n_words and any(v[x : x + r.n_words] == passage for x in range(len(v)))
     assert leakage.find_leaks(d, e.limit(0)).count() == 0 and leakage.find_leaks(d.limit(0), e).count() == 0
 
 
@@ -177,6 +177,41 @@ def test_pieces(spark):
         chunking.piece_pattern(64, 62)
 
 
+def plain_boundary(text, at):
+    if at >= len(text):
+        return "P"
+    before, after = text[at - 1], text[at]
+    if before == "\n" and not after.isspace():
+        head = text[: at - 1]
+        while head and head[-1].isspace() and head[-1] != "\n":
+            head = head[:-1]
+        return "P" if head.endswith("\n") else "S"
+    head = text[:at].rstrip("\"')]}”’»」")
+    stop = head[-1:]
+    if stop and (after.isspace() and stop in ".!?…" or stop in "。！？" and after not in "\"')]}”’»」"):
+        return "S"
+    return "W" if after.isspace() != before.isspace() else "c"
+
+
 def test_boundaries_by_strength():
-    for text, at, want in (("a\n\nb", 3, "P"), ("a.\nb", 3, "S"), ("a. b", 2, "S"), ('a." b', 3, "S"), ("a b", 1, "W"), ("ab", 1, "c"), ("です。次", 3, "S"), ("ab", 2, "P"), ("3.5", 2, "c")):
-        assert chunking._boundary(text, at) == want, text
+    at = lambda text, k: chunking.boundaries(text)[k - 1].decode()
+    for text, k, want in (("a\n\nb", 3, "P"), ("a.\nb", 3, "S"), ("a. b", 2, "S"), ('a." b', 3, "S"), ("a b", 1, "W"), ("ab", 1, "c"), ("です。次", 3, "S"), ("ab", 2, "P"), ("3.5", 2, "c")):
+        assert at(text, k) == want == plain_boundary(text, k), text
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("a。.!)\"' \n\t\r\u3000é🎉」") for _ in range(rng.randrange(1, 40)))
+        assert [b.decode() for b in chunking.boundaries(text)] == [plain_boundary(text, k) for k in range(1, len(text) + 1)], text
+    assert len(chunking.boundaries("")) == 0
+
+
+def test_rates_beyond_what_exp_holds():
+    steps = mixing.poisson_steps(760.0, 1000)
+    assert abs(steps[759] - 0.5) < 0.05 and steps[600] < 1e-6 and steps[-1] > 1 - 1e-9 and steps == sorted(steps)
+    assert mixing.poisson_steps(0.0, 3) == [1.0] * 3
+
+
+def test_too_many_items_are_refused(spark):
+    one = spark.createDataFrame([(1, "some words here")], "eval_id long, text string")
+    with pytest.raises(ValueError, match="cannot be broadcast"):
+        leakage.find_leaks(one.withColumnRenamed("eval_id", "doc_id"), one, max_chars=5)
+    assert leakage._blocks([(1, "aaa"), (2, "bb"), (3, "cccccc"), (4, "d")], 5) == [[(1, "aaa"), (2, "bb")], [(3, "cccccc")], [(4, "d")]]

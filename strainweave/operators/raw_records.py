@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strainweave.functions.ids import clean_id, strip
 from strainweave.operators.skew import heavy_keys, lookup_join
+from strainweave.plans.shared import cut
 
 #: Reasons in the order in which they apply.
 REASONS = ["quoting", "columns", "id", "value"]
@@ -48,9 +49,9 @@ def _unquote(field: Column) -> Column:
     return F.when(field.startswith('"'), inner).otherwise(field)
 
 
-def tokenise(raw: DataFrame) -> DataFrame:
-    """The columns of COLUMNS that raw has, with `fields` (trimmed texts of the cells) and `well_quoted`. Null lines count as blank."""
-    d = raw.select(*[c for c in COLUMNS if c in raw.columns]).withColumn("line", F.coalesce(_line(F.col("line")), F.lit("")))
+def tokenise(raw: DataFrame, *more: str) -> DataFrame:
+    """The columns of COLUMNS that raw has, and those of `more`, with `fields` (trimmed texts of the cells) and `well_quoted`. Null lines count as blank."""
+    d = raw.select(*[c for c in (*COLUMNS, *more) if c in raw.columns]).withColumn("line", F.coalesce(_line(F.col("line")), F.lit("")))
     d = d.select("*", F.explode(F.array(_tokens(F.col("line"), F.col("sep")))).alias("__tokens"))
     covered = F.aggregate("__tokens", F.lit(0), lambda n, t: n + F.length(t)) + F.size("__tokens") * F.length("sep")
     return d.withColumn("well_quoted", covered == F.length("line") + F.length("sep")).withColumn("fields", F.transform("__tokens", lambda t: strip(_unquote(t)))).drop("__tokens")
@@ -73,12 +74,16 @@ def rules(spark: SparkSession) -> DataFrame:
 def parse_records(raw: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
     """The records of raw (neither header nor a line of spaces only) with their cells, and the header of their file.
 
-    Files may be very unequal: headers of files with many lines are broadcast, others joined by a shuffle. A file
-    without a header gives null header columns.
+    Every line is cut into cells once, and the result is written for all that reads it. Files may be very unequal:
+    headers of files with many lines are broadcast, others joined by a shuffle, before the lines are cut. A file
+    without a header gives null header columns; a line without a number is a record.
     """
-    tokens = tokenise(raw)
-    body = tokens.filter((F.col("line_no") != 1) & (F.btrim("line", F.lit(" ")) != ""))  # a line of tabs has cells
-    return lookup_join(body, headers(tokens), "file_name", heavy_keys(raw, "file_name", heavy_rows))
+    raw = raw.select(*[c for c in COLUMNS if c in raw.columns])
+    named = headers(tokenise(raw.filter("line_no = 1")))
+    body = raw.filter(F.col("line_no").isNull() | (F.col("line_no") != 1))
+    joined = lookup_join(body, named, "file_name", heavy_keys(raw, "file_name", heavy_rows))
+    tokens = tokenise(joined, "columns", "header_ids", "n_columns")
+    return cut(tokens.filter(F.btrim("line", F.lit(" ")) != "").drop("line"), "records")  # a line of tabs has cells
 
 
 def cells(records: DataFrame) -> DataFrame:
@@ -112,9 +117,12 @@ def reject_reasons(raw: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
     header lacks a needed column, fail by `columns` and by `id` or `value`. An unknown kind of file is checked for
     quoting and number of columns only. Records repeated under one record_id give one row.
     """
-    records = parse_records(raw, heavy_rows)
+    return _rejects(parse_records(raw, heavy_rows))
+
+
+def _rejects(records: DataFrame) -> DataFrame:
     line_level = records.select("record_id", F.when(~F.col("well_quoted"), 0).when(F.col("n_columns").isNull() | (F.size("fields") != F.col("n_columns")), 1).when((F.col("file_kind") == "kp_epi") & ~F.array_contains("columns", "isolate_id"), 2).when((F.col("file_kind") == "kp_epi") & ~F.array_contains("columns", "collection_date"), 3).alias("rank"))
-    checked = cells(records).join(F.broadcast(rules(raw.sparkSession)), ["file_kind", "rule_column"])  # four rules
+    checked = cells(records).join(F.broadcast(rules(records.sparkSession)), ["file_kind", "rule_column"])  # four rules
     v, check = F.col("value"), F.col("check")
     failed = F.when(check == "id", v == "").when(check == "id in header", (v == "") | ~F.coalesce("in_header", F.lit(False))).when(check == "distance", distance(v).isNull()).when(check == "day", existing_day(v).isNull())
     rank = F.array_position(F.array(*[F.lit(r) for r in REASONS]), F.col("reason")).cast("int") - 1
@@ -124,8 +132,8 @@ def reject_reasons(raw: DataFrame, heavy_rows: int = 50_000) -> DataFrame:
 
 
 def _clean(raw: DataFrame, kind: str, heavy_rows: int) -> DataFrame:
-    only = raw.filter(F.col("file_kind") == kind)
-    return parse_records(only, heavy_rows).join(reject_reasons(only, heavy_rows), "record_id", "left_anti")
+    records = parse_records(raw.filter(F.col("file_kind") == kind), heavy_rows)
+    return records.join(_rejects(records), "record_id", "left_anti")
 
 
 def clean_epi(raw: DataFrame, heavy_rows: int = 50_000) -> DataFrame:

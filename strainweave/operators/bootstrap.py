@@ -31,7 +31,7 @@ def perturbed_edges(pairs: DataFrame, n_boot: int, seed: int = 42, snp_cutoff: f
     return d.filter(F.col("d") <= snp_cutoff).select("g", "src", "dst", "d", composite_weight(F.col("d"), F.col("day_delta"), F.col("mm"), snp_cutoff, day_cutoff).alias("composite_weight"))
 
 
-def bootstrap_stability(dist: DataFrame, iso: DataFrame, clusters: DataFrame, n_boot: int = 50, seed: int = 42, snp_cutoff: float = 20, day_cutoff: int = 14, resolution: float = 1.0) -> DataFrame:
+def bootstrap_stability(dist: DataFrame, iso: DataFrame, clusters: DataFrame, n_boot: int = 500, seed: int = 42, snp_cutoff: float = 20, day_cutoff: int = 14, resolution: float = 1.0) -> DataFrame:
     """(isolate_id, cluster_id, stability_score, classification): the share of replicates that give an isolate its label.
 
     All replicates are clustered at once, as so many graphs, and each is aligned to clusters (isolate_id, cluster_id).

@@ -2,17 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainweave.plans.shared import cut, scope, write_counted, write_step
 
 
+#: Edges that a task contracts at once.
+CHUNK = 500_000
+
+
+def _contracted(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    edges = pd.concat(parts)
+    at, names = pd.factorize(np.concatenate([edges["src"].to_numpy(), edges["dst"].to_numpy()]), sort=True)
+    a, b = at[: len(edges)], at[len(edges) :]
+    label = np.arange(len(names))
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            break
+        label = low
+    far = np.flatnonzero(label != np.arange(len(names)))
+    return pd.DataFrame({"src": names[far], "dst": names[label[far]]})
+
+
+def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts, size = [], 0
+    for pdf in batches:
+        parts.append(pdf)
+        size += len(pdf)
+        if size >= CHUNK:
+            yield _contracted(parts)
+            parts, size = [], 0
+    if size:
+        yield _contracted(parts)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(node, component): component is the smallest node of each connected component.
 
-    nodes has the column node, edges src and dst (either direction, ends outside nodes allowed). Every round takes the
-    smallest label among a node and its neighbours and then the label's own label, so paths halve.
+    nodes has the column node, edges src and dst (either direction, ends outside nodes allowed). First every task replaces
+    its edges, CHUNK at a time, by one from each node to the smallest it is linked with among them. Then every round takes
+    the smallest label among a node and its neighbours and then the label's own label, so paths halve.
     """
     with scope() as keep:
         return keep(_components(nodes, edges, max_rounds), "components")
@@ -20,7 +58,10 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 2
 
 def _components(nodes: DataFrame, edges: DataFrame, max_rounds: int) -> DataFrame:
     known = nodes.select("node").union(edges.select("src")).union(edges.select("dst")).filter("node is not null").distinct()
-    sym = cut(edges.select("src", "dst").union(edges.select("dst", "src")).filter("src <> dst").distinct(), "neighbours")
+    kind = edges.schema["src"].dataType.simpleString()
+    stars = edges.select("src", "dst").filter("src <> dst").mapInPandas(_stars, f"src {kind}, dst {kind}").distinct()
+    stars = cut(stars, "stars")
+    sym = cut(stars.union(stars.select("dst", "src")), "neighbours")
     now = write_step(known.select("node", F.col("node").alias("label")), "labels")
     for k in range(max_rounds):
         near = sym.join(now.df, sym["dst"] == now.df["node"]).groupBy("src").agg(F.min("label").alias("near"))

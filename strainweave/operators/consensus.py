@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strainweave.operators.components import connected_components, number_rows
-from strainweave.plans.shared import cut
+from strainweave.plans.shared import cut, scope
 
 
 #: Cells of the contingency table that a group has on average.
@@ -54,10 +54,12 @@ def _match_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Labels of one connected block of the contingency table, matched for the largest overlap."""
     out = []
     for (g, _), block in pdf.groupby(["g", "block"], sort=True):
-        table = block.pivot_table(index="other", columns="ref", values="n", fill_value=0, aggfunc="sum").sort_index().sort_index(axis=1)
-        m = table.to_numpy()
+        others, i = np.unique(block["other"].to_numpy(), return_inverse=True)
+        refs, j = np.unique(block["ref"].to_numpy(), return_inverse=True)
+        m = np.zeros((len(others), len(refs)), dtype=np.int64)
+        np.add.at(m, (i, j), block["n"].to_numpy())
         pick = best_matching(m) if m.shape[0] <= m.shape[1] else _inverse(best_matching(m.T), m.shape[0])
-        out += [(g, o, table.columns[c]) for i, (o, c) in enumerate(zip(table.index, pick)) if c >= 0 and m[i, c] > 0]
+        out += [(g, o, refs[c]) for i, (o, c) in enumerate(zip(others, pick)) if c >= 0 and m[i, c] > 0]
     return pd.DataFrame(out, columns=["g", "other", "ref"])
 
 
@@ -74,14 +76,25 @@ def align_labels(other: DataFrame, reference: DataFrame) -> DataFrame:
     order of (g, other), for each g anew. The table falls into blocks without common labels, matched apart: the sum over
     blocks is the best sum. Labels are whole numbers.
     """
+    with scope() as keep:
+        return keep(_align(other, reference), "aligned")
+
+
+def _align(other: DataFrame, reference: DataFrame) -> DataFrame:
     table = cut(contingency(other, reference), "contingency")
     o = F.concat(F.col("g").cast("string"), F.lit("o"), F.col("other").cast("string"))
     r = F.concat(F.col("g").cast("string"), F.lit("r"), F.col("ref").cast("string"))
     links = table.select(o.alias("src"), r.alias("dst"))
     blocks = connected_components(links.select(F.col("src").alias("node")), links)
     keyed = table.withColumn("node", o).join(blocks, "node").select("g", "other", "ref", "n", F.col("component").alias("block"))
-    packs = max(1, -(-table.count() // GROUP))
-    matched = cut(keyed.withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(_match_block, "g int, other bigint, ref bigint"), "matched")
+    keyed = cut(keyed, "keyed")
+    shape = cut(keyed.groupBy("block").agg(F.least(F.countDistinct("other"), F.countDistinct("ref")).alias("side"), F.count("*").alias("cells")), "shapes")
+    # a block with one label on a side keeps its largest overlap, of equal ones the first
+    easy = keyed.join(shape.filter("side = 1").select("block"), "block", "left_semi").groupBy("block").agg(F.min_by(F.struct("g", "other", "ref"), F.struct(-F.col("n"), F.col("other"), F.col("ref"))).alias("m")).select("m.*")
+    hard = shape.filter("side > 1")
+    packs = max(1, -(-(hard.agg(F.sum("cells")).first()[0] or 0) // GROUP))
+    solved = keyed.join(hard.select("block"), "block", "left_semi").withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(_match_block, "g int, other bigint, ref bigint")
+    matched = cut(easy.unionByName(solved), "matched")
     labels = other.select("g", F.col("label").alias("other")).distinct()
     free = number_rows(labels.join(matched, ["g", "other"], "left_anti"), ["g", "other"], "__n")
     first = free.groupBy("g").agg(F.min("__n").alias("__first"))

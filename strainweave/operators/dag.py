@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strainweave.operators.components import connected_components
-from strainweave.plans.shared import cut, shared_folder, write_counted, write_step
+from strainweave.plans.shared import Written, cut, shared_folder, write_step
 
 
 def orient(edges: DataFrame, iso: DataFrame, uncertainty_days: int = 2) -> DataFrame:
@@ -53,18 +53,19 @@ def peel(arcs: DataFrame, iso: DataFrame, max_rounds: int = 100_000) -> tuple[Da
     if not left.df.limit(1).count():
         return left.df.withColumn("chain_length", F.lit(0)), not rest.df.limit(1).count()
     for k in range(max_rounds):
+        # one table a round, cut in two: who leaves, under the round's number, and who stays
         blocked = rest.df.select(F.col("dst").alias("isolate_id")).distinct()
-        marked = left.df.join(blocked.withColumn("blocked", F.lit(True)), "isolate_id", "left")
-        sorted_out, n = write_counted(marked, f"blocked-{k}", free=F.count_if(F.col("blocked").isNull()), blocked=F.count_if("blocked"))
-        free = sorted_out.df.filter("blocked is null").select("isolate_id")
-        free.write.parquet(f"{root}/chain_length={k}")
-        last = (left, rest, sorted_out)
-        left = write_step(sorted_out.df.filter("blocked").select("isolate_id"), f"left-{k}")
-        rest = write_step(rest.df.join(free.withColumnRenamed("isolate_id", "src"), "src", "left_anti"), f"rest-{k}")
+        marked = left.df.select("isolate_id").join(blocked.withColumn("stays", F.lit(True)), "isolate_id", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+        seen = Observation()
+        marked.observe(seen, F.count_if(~F.col("stays")).alias("free"), F.count_if("stays").alias("stay")).write.partitionBy("stays").parquet(f"{root}/chain_length={k}")
+        n, now = seen.get, spark.read.schema("isolate_id string, stays boolean").parquet(f"{root}/chain_length={k}")
+        last, left = (left, rest), Written(spark, f"{root}/chain_length={k}/stays=true", now.filter("stays").select("isolate_id"))
+        rest = write_step(rest.df.join(now.filter("not stays").select(F.col("isolate_id").alias("src")), "src", "left_anti"), f"rest-{k}")
         for t in last:
             t.drop()
-        if not n["free"] or not n["blocked"]:
-            return spark.read.schema("isolate_id string, chain_length int").parquet(root), not n["blocked"] and not rest.df.limit(1).count()
+        if not n["free"] or not n["stay"]:
+            found = spark.read.schema("isolate_id string, chain_length int, stays boolean").parquet(root)
+            return found.filter("not stays").select("isolate_id", "chain_length"), not n["stay"] and not rest.df.limit(1).count()
     raise RuntimeError("a path is longer than max_rounds")
 
 

@@ -80,6 +80,19 @@ def tree_drawing(forest: DataFrame, edges: DataFrame) -> DataFrame:
     return d.select("src", "dst", "composite_weight", "snp_distance", F.greatest(F.lit(0.3), F.lit(2.5) / F.greatest(F.lit(1), F.col("snp_distance"))).alias("width"))
 
 
+def tree_nodes(scores: DataFrame) -> DataFrame:
+    """(isolate_id, cluster_id, size, is_index_case) of the drawn forest: 60 + 240 risk, and the isolate of highest risk, of equal ones the first."""
+    best = scores.groupBy("cluster_id").agg(F.min_by("isolate_id", F.struct(-F.col("transmission_risk_score"), F.col("isolate_id"))).alias("first"))
+    d = scores.join(best, "cluster_id")
+    return d.select("isolate_id", "cluster_id", (F.lit(60.0) + 240 * F.col("transmission_risk_score")).alias("size"), (F.col("isolate_id") == F.col("first")).alias("is_index_case"))
+
+
+def method_labels(assignments: DataFrame, consensus: DataFrame) -> DataFrame:
+    """(isolate_id, method, label, ambiguous) from (isolate_id, method, label) and the flags of a vote; without one it's false."""
+    d = assignments.join(consensus.select("isolate_id", "ambiguous"), "isolate_id", "left")
+    return d.select("isolate_id", "method", "label", F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"))
+
+
 def top_risk(scores: DataFrame, n: int = 20) -> DataFrame:
     """The n rows of highest risk, of equal ones the first by isolate, cluster and row. Null and NaN scores are left out."""
     good = scores.filter(F.col("transmission_risk_score").isNotNull() & ~F.isnan("transmission_risk_score"))

@@ -17,6 +17,11 @@ from strainweave.plans.shared import cut, shared_folder
 from strainweave.plans.tables import table
 from strainweave.streaming import incremental
 
+_VOTES = f"""votes AS (SELECT {q.clean('isolate_id')} AS isolate_id, row_id AS position, {q.st('st')} AS label FROM mlst),
+counted AS (SELECT isolate_id, label, count(*) AS n, min(position) AS first FROM votes WHERE isolate_id IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
+vote AS (SELECT isolate_id, label, n / 3.0::DOUBLE AS agreement_score FROM (SELECT *, row_number() OVER (PARTITION BY isolate_id ORDER BY n DESC, first) AS r FROM counted) WHERE r = 1)"""
+#: Replicates of a bootstrap: the settings' default.
+REPLICATES = 500
 _CHAINS_COMP = f"{q.CHAINS},\n{q.SYM},\n{q.REACH}"
 
 
@@ -74,6 +79,19 @@ def eigengap(spark: SparkSession, folder: str) -> DataFrame:
     return spectral.spectral(*views.graph_tables(spark, folder)).groupBy("k").agg(F.count("*").alias("n_isolates"), F.round(F.avg("gap"), 6).alias("mean_gap"))
 
 
+@query(
+    "eigengap_rule",
+    """WITH v AS (SELECT cluster_id AS block, betweenness AS x FROM centrality_scores WHERE cluster_id IS NOT NULL AND betweenness IS NOT NULL AND NOT isnan(betweenness)),
+r AS (SELECT block, x, row_number() OVER (PARTITION BY block ORDER BY x) AS place FROM v),
+g AS (SELECT block, place, lead(x) OVER (PARTITION BY block ORDER BY place) - x AS gap, count(*) OVER (PARTITION BY block) AS n FROM r WHERE place <= 13)
+SELECT block, CAST(CASE WHEN n < 3 THEN 1 ELSE place END AS INT) AS k, round(CASE WHEN n < 3 THEN 0 ELSE gap END, 9) AS gap FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY gap DESC NULLS LAST, place) AS best FROM g) WHERE best = 1""",
+)
+def eigengap_rule(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule of the widest gap among the thirteen smallest values, on the betweenness of every delivered cluster."""
+    v = table(spark, folder, "centrality_scores").filter("cluster_id is not null").select(F.col("cluster_id").alias("block"), F.col("betweenness").alias("value"))
+    return spectral.eigengap_k(v).withColumn("gap", F.round("gap", 9))
+
+
 @query(
     "silhouette_euclidean",
     """WITH d AS (SELECT a.vec_id AS i, a.label AS own, b.label AS l, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) * (p[1]::DOUBLE - p[2]::DOUBLE)))) AS d
@@ -111,6 +129,21 @@ def adjusted_rand(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.adjusted_rand(c.withColumnRenamed("cluster_id", "label"), _component(iso, e).withColumnRenamed("component", "label")).select(F.round("ari", 9).alias("ari"))
 
 
+@query("hungarian_overlap", q.with_(_CHAINS_COMP, "SELECT count(*) AS n_matched, CAST(sum(n) AS BIGINT) AS overlap FROM (SELECT g, max(n) AS n FROM (SELECT cluster_id, g, count(*) AS n FROM chains JOIN reach ON id = isolate_id GROUP BY ALL) GROUP BY g)", True))
+def hungarian_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Isolates that keep their label when chain clusters are matched to components.
+
+    A chain lies in one component, so the best sum is that of every component's largest chain: what the SQL takes.
+    """
+    iso, e, c = _chains(spark, folder)
+    comp = _component(iso, e)
+    number = components.number_rows(comp.select("component").distinct(), ["component"], "label")
+    reference = cut(comp.join(number, "component").select("isolate_id", "label"), "reference")
+    other = c.select(F.lit(1).alias("g"), "isolate_id", F.col("cluster_id").cast("bigint").alias("label"))
+    found = consensus.align_labels(other, reference).select("other", F.col("label").alias("ref"))
+    return consensus.contingency(other, reference).join(found, ["other", "ref"]).agg(F.count("*").alias("n_matched"), F.sum("n").alias("overlap"))
+
+
 @query("hungarian_align")
 def hungarian_align(spark: SparkSession, folder: str) -> DataFrame:
     """The number of every chain cluster after matching to the numbered components."""
@@ -131,11 +164,6 @@ def consensus_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.consensus([c.select("isolate_id", F.col("cluster_id").alias("label")), le, sp])
 
 
-_VOTES = f"""votes AS (SELECT {q.clean('isolate_id')} AS isolate_id, row_id AS position, {q.st('st')} AS label FROM mlst),
-counted AS (SELECT isolate_id, label, count(*) AS n, min(position) AS first FROM votes WHERE isolate_id IS NOT NULL AND label IS NOT NULL GROUP BY ALL),
-vote AS (SELECT isolate_id, label, n / 3.0::DOUBLE AS agreement_score FROM (SELECT *, row_number() OVER (PARTITION BY isolate_id ORDER BY n DESC, first) AS r FROM counted) WHERE r = 1)"""
-
-
 def _votes(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "mlst").select(clean_id(F.col("isolate_id")).alias("isolate_id"), F.col("row_id").alias("position"), sequence_type(F.col("st")).alias("label"))
     return consensus.majority_vote(v.filter("isolate_id is not null and label is not null"), 3)
@@ -155,25 +183,53 @@ def assignment_pivot(spark: SparkSession, folder: str) -> DataFrame:
     return consensus.assignment_pivot(long, ["snp_chains", "component"])
 
 
-@query("betweenness")
+@query("betweenness", q.with_(f"{q.ARCS},\n{q.PATHS}", "SELECT isolate_id, round(betweenness, 8) AS betweenness, round(closeness, 8) AS closeness FROM paths", True))
 def betweenness(spark: SparkSession, folder: str) -> DataFrame:
     """Betweenness and closeness in the temporal graph."""
     iso, e = views.graph_tables(spark, folder)
     arcs = dag.temporal_dag(e, iso).select("src", "dst", F.col("composite_weight").alias("w"))
-    return centrality.path_centrality(arcs, iso.select(F.col("isolate_id").alias("node"))).withColumnRenamed("node", "isolate_id")
+    found = centrality.path_centrality(arcs, iso.select(F.col("isolate_id").alias("node")))
+    return found.select(F.col("node").alias("isolate_id"), F.round("betweenness", 8).alias("betweenness"), F.round("closeness", 8).alias("closeness"))
 
 
-@query("closeness")
+@query("closeness", q.with_(f"{q.ARCS},\n{q.PATHS}", "SELECT isolate_id, round(closeness, 8) AS closeness FROM paths", True))
 def closeness(spark: SparkSession, folder: str) -> DataFrame:
     """Closeness in the temporal graph, direction ignored."""
     return betweenness(spark, folder).select("isolate_id", "closeness")
 
 
-@query("compute_centrality")
+_TIMELINE = q.CHAINS + ",\n" + q.ARCS[len(q.EDGES) + 2 :].replace("arcs AS", "dagarcs AS")
+_RANGE = lambda c: f"CASE WHEN max({c}) OVER w - min({c}) OVER w < 1e-12 THEN 0::DOUBLE ELSE ({c} - min({c}) OVER w)::DOUBLE / (max({c}) OVER w - min({c}) OVER w) END"
+_CENTRALITY = f"""{_TIMELINE},
+{q.PATHS.replace("FROM arcs", "FROM dagarcs")},
+degree AS (SELECT isolate_id, cluster_id, betweenness, closeness, (SELECT count(*) FROM dagarcs WHERE dst = isolate_id)::INT AS in_degree, (SELECT count(*) FROM dagarcs WHERE src = isolate_id)::INT AS out_degree FROM paths JOIN chains USING (isolate_id)),
+central AS (SELECT *, 0.5::DOUBLE * {_RANGE("betweenness")} + 0.3::DOUBLE * {_RANGE("out_degree")} + 0.2::DOUBLE * {_RANGE("closeness")} AS risk FROM degree WINDOW w AS (PARTITION BY cluster_id))"""
+
+
+@query("compute_centrality", q.with_(_CENTRALITY, "SELECT isolate_id, cluster_id, round(betweenness, 8) AS betweenness, in_degree, out_degree, round(closeness, 8) AS closeness, round(risk, 8) AS transmission_risk_score FROM central", True))
 def compute_centrality(spark: SparkSession, folder: str) -> DataFrame:
     """The centrality table of the chain clusters."""
     iso, e, c = _chains(spark, folder)
-    return centrality.centrality(dag.temporal_dag(e, iso), iso, c)
+    return centrality.centrality(dag.temporal_dag(e, iso), iso, c).withColumns({x: F.round(x, 8) for x in ("betweenness", "closeness", "transmission_risk_score")})
+
+
+@query(
+    "cluster_records",
+    q.with_(
+        f"""{_CENTRALITY},
+{_VOTES}""",
+        """SELECT cluster_id, count(*) AS n_isolates, coalesce(array_to_string(list_sort(list(DISTINCT nullif(sequence_type, '')) FILTER (nullif(sequence_type, '') IS NOT NULL)), ','), '') AS sequence_types, array_to_string(list_sort(list(DISTINCT ward)), ',') AS wards,
+min(i.collection_date) AS first_day, max(i.collection_date) AS last_day, arg_min(isolate_id, struct_pack(a := -round(risk, 9), b := isolate_id)) AS index_case_candidate, round(coalesce(sum(agreement_score), 0) / count(*), 6) AS confidence
+FROM central JOIN iso i USING (isolate_id) LEFT JOIN vote USING (isolate_id) GROUP BY cluster_id""",
+        True,
+    ),
+)
+def cluster_records(spark: SparkSession, folder: str) -> DataFrame:
+    """Every chain cluster with its index case, and the agreement of its typing as confidence."""
+    iso, e, c = _chains(spark, folder)
+    scores = centrality.centrality(dag.temporal_dag(e, iso), iso, c).withColumn("transmission_risk_score", F.round("transmission_risk_score", 9))
+    s = summary.cluster_summary(c, iso, scores, _votes(spark, folder).withColumnRenamed("agreement_score", "stability_score"))
+    return s.withColumns({"sequence_types": F.array_join("sequence_types", ","), "wards": F.array_join("wards", ","), "confidence": F.round("confidence", 6)})
 
 
 _SCALE = lambda c: f"CASE WHEN max(coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)) OVER w - min(coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)) OVER w < 1e-12 THEN 0::DOUBLE ELSE (coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)::DOUBLE - min(coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)) OVER w) / (max(coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)) OVER w - min(coalesce(CASE WHEN isnan({c}::DOUBLE) THEN 0 ELSE {c} END, 0)) OVER w) END"
@@ -275,26 +331,27 @@ def kpis(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("bootstrap_noise")
 def bootstrap_noise(spark: SparkSession, folder: str) -> DataFrame:
-    """Perturbed distances of the candidate pairs in ten replicates."""
+    """The candidate pairs over all replicates: in how many each is an edge, and its distances there."""
     pairs = bootstrap.candidate_pairs(views.distances(spark, folder), views.isolates(spark, folder), views.SNP_CUTOFF, views.DAY_CUTOFF)
-    return bootstrap.perturbed_edges(pairs, 10).select("g", "src", "dst", F.round("d", 6).alias("d"))
+    e = bootstrap.perturbed_edges(pairs, REPLICATES).groupBy("src", "dst")
+    return e.agg(F.count("*").alias("n_replicates"), F.round(F.min("d"), 6).alias("low"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("high"))
 
 
 @query("bootstrap_stability")
 def bootstrap_stability(spark: SparkSession, folder: str) -> DataFrame:
-    """Stability of the chain clusters in ten replicates."""
+    """Stability of the chain clusters over all replicates."""
     iso, _, c = _chains(spark, folder)
-    return bootstrap.bootstrap_stability(views.distances(spark, folder), iso, c, n_boot=10)
+    return bootstrap.bootstrap_stability(views.distances(spark, folder), iso, c, n_boot=REPLICATES)
 
 
-@query("mst_edges")
+@query("mst_edges", q.with_(f"{q.EDGES},\n{q.FOREST}", "SELECT src, dst, round(composite_weight, 9) AS composite_weight, snp_distance, greatest(0.3::DOUBLE, 2.5::DOUBLE / greatest(1, snp_distance)) AS width FROM forest", True))
 def mst_edges(spark: SparkSession, folder: str) -> DataFrame:
     """The minimum spanning forest with the width of its lines."""
     _, e = views.graph_tables(spark, folder)
     return summary.tree_drawing(forest.spanning_forest(e), e).withColumn("composite_weight", F.round("composite_weight", 9))
 
 
-@query("mst_weight")
+@query("mst_weight", q.with_(f"{q.EDGES},\n{q.FOREST}", "SELECT count(*) AS n_edges, round(sum(composite_weight), 6) AS weight FROM forest", True))
 def mst_weight(spark: SparkSession, folder: str) -> DataFrame:
     """Edges and weight of the forest."""
     return forest.spanning_forest(views.graph_tables(spark, folder)[1]).agg(F.count("*").alias("n_edges"), F.round(F.sum("composite_weight"), 6).alias("weight"))
@@ -324,9 +381,6 @@ def timeline_bands(spark: SparkSession, folder: str) -> DataFrame:
     return summary.timeline_bands(c, iso)
 
 
-_TIMELINE = q.CHAINS + ",\n" + q.ARCS[len(q.EDGES) + 2 :].replace("arcs AS", "dagarcs AS")
-
-
 @query("timeline_arcs", q.with_(_TIMELINE, "SELECT x.cluster_id, src, dst FROM dagarcs JOIN chains x ON x.isolate_id = src JOIN chains y ON y.isolate_id = dst WHERE x.cluster_id = y.cluster_id", True))
 def timeline_arcs(spark: SparkSession, folder: str) -> DataFrame:
     """Arcs within one chain cluster."""
@@ -340,6 +394,23 @@ def top20_risk(spark: SparkSession, folder: str) -> DataFrame:
     return summary.top_risk(table(spark, folder, "centrality_scores")).select("row_id", "isolate_id", "cluster_id", "transmission_risk_score")
 
 
+@query("method_labels", q.with_(f"{_CHAINS_COMP},\n{_VOTES}", """SELECT m.isolate_id, method, m.label, coalesce(agreement_score < 2.0::DOUBLE / 3, false) AS ambiguous
+FROM (SELECT isolate_id, 'snp_chains' AS method, cluster_id::VARCHAR AS label FROM chains UNION ALL SELECT id, 'component', g FROM reach) m LEFT JOIN vote v ON v.isolate_id = m.isolate_id""", True))
+def method_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The labels of every method beside each other, and whether the isolate's typing is ambiguous."""
+    iso, e, c = _chains(spark, folder)
+    long = c.select("isolate_id", F.lit("snp_chains").alias("method"), F.col("cluster_id").cast("string").alias("label")).unionByName(_component(iso, e).select("isolate_id", F.lit("component").alias("method"), F.col("component").alias("label")))
+    return summary.method_labels(long, _votes(spark, folder))
+
+
+@query("mst_nodes", q.with_(_CENTRALITY, "SELECT isolate_id, cluster_id, round(60 + 240 * risk, 4) AS size, row_number() OVER (PARTITION BY cluster_id ORDER BY round(risk, 9) DESC, isolate_id) = 1 AS is_index_case FROM central", True))
+def mst_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """The isolates of the drawn forest: size by risk, and whether each is its cluster's index case."""
+    iso, e, c = _chains(spark, folder)
+    scores = cut(centrality.centrality(dag.temporal_dag(e, iso), iso, c).withColumn("transmission_risk_score", F.round("transmission_risk_score", 9)), "scores")
+    return summary.tree_nodes(scores).withColumn("size", F.round("size", 4))
+
+
 @query("method_counts", q.with_(_CHAINS_COMP, "SELECT 'snp_chains' AS method, count(*) AS n_isolates, count(DISTINCT cluster_id) AS n_clusters FROM chains UNION ALL SELECT 'component', count(*), count(DISTINCT g) FROM reach", True))
 def method_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Isolates and clusters per method."""

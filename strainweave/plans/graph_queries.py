@@ -188,12 +188,27 @@ def longest_chain(spark: SparkSession, folder: str) -> DataFrame:
     return dag.longest_paths(dag.temporal_dag(e, iso), iso)
 
 
+@query(
+    "topological_order",
+    q.with_(
+        q.ARCS + ",\nlong(id, l) AS (SELECT isolate_id, 0 FROM iso UNION SELECT a.dst, l + 1 FROM long JOIN arcs a ON a.src = id)",
+        "SELECT id AS isolate_id, level, row_number() OVER (ORDER BY level, id) - 1 AS position FROM (SELECT id, CAST(max(l) AS INT) AS level FROM long GROUP BY id)",
+        True,
+    ),
+)
+def topological_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Every isolate's level and place in an order that all arcs follow."""
+    iso, e = views.graph_tables(spark, folder)
+    return components.number_rows(dag.topological_rank(dag.temporal_dag(e, iso), iso), ["level", "isolate_id"], "position")
+
+
 @query(
     "dag_summary",
     q.with_(
-        q.ARCS + ",\nsym AS (SELECT src AS a, dst AS b FROM arcs UNION ALL SELECT dst, src FROM arcs),\n" + q.REACH + ",\nlong(id, l) AS (SELECT isolate_id, 0 FROM iso UNION SELECT a.dst, l + 1 FROM long JOIN arcs a ON a.src = id)",
+        q.ARCS + ",\nsym AS (SELECT src AS a, dst AS b FROM arcs UNION ALL SELECT dst, src FROM arcs),\n" + q.REACH + ",\nlong(id, l) AS (SELECT isolate_id, 0 FROM iso UNION SELECT a.dst, l + 1 FROM long JOIN arcs a ON a.src = id),\nbehind(a, b) AS (SELECT src, dst FROM arcs UNION SELECT h.a, x.dst FROM behind h JOIN arcs x ON x.src = h.b)",
         """SELECT (SELECT count(*) FROM iso) AS n_vertices, (SELECT count(*) FROM arcs) AS n_edges, (SELECT count(*) FROM iso WHERE isolate_id NOT IN (SELECT dst FROM arcs)) AS n_source_nodes,
-(SELECT count(*) FROM iso WHERE isolate_id NOT IN (SELECT src FROM arcs)) AS n_sink_nodes, (SELECT count(DISTINCT g) FROM reach) AS n_weakly_connected_components, (SELECT CAST(max(l) AS INT) FROM long) AS max_chain_length, true AS is_dag""",
+(SELECT count(*) FROM iso WHERE isolate_id NOT IN (SELECT src FROM arcs)) AS n_sink_nodes, (SELECT count(DISTINCT g) FROM reach) AS n_weakly_connected_components, (SELECT CAST(max(l) AS INT) FROM long) AS max_chain_length,
+(SELECT count(*) = 0 FROM behind WHERE a = b) AS is_dag""",
         True,
     ),
 )

@@ -68,5 +68,31 @@ oriented AS (
 arcs AS (SELECT a AS src, b AS dst, composite_weight FROM oriented WHERE delta > 0 OR (delta = 0 AND a < b))"""
 
 
+# shortest paths in the graph of arcs: down by direction, around without; floored weights
+PATHS = """flo AS (SELECT src, dst, greatest(composite_weight, CAST(1e-6 AS DOUBLE)) AS w FROM arcs),
+both_ways AS (SELECT src, dst, w FROM flo UNION ALL SELECT dst, src, w FROM flo),
+around(s, v, d) USING KEY (s, v) AS (
+  SELECT isolate_id, isolate_id, CAST(0 AS DOUBLE) FROM iso
+  UNION
+  SELECT a.s, e.dst, min(a.d + e.w) FROM around a JOIN both_ways e ON e.src = a.v LEFT JOIN recurring.around cur ON cur.s = a.s AND cur.v = e.dst WHERE cur.d IS NULL OR a.d + e.w < cur.d GROUP BY a.s, e.dst),
+down(s, v, d) USING KEY (s, v) AS (
+  SELECT isolate_id, isolate_id, CAST(0 AS DOUBLE) FROM iso
+  UNION
+  SELECT a.s, e.dst, min(a.d + e.w) FROM down a JOIN flo e ON e.src = a.v LEFT JOIN recurring.down cur ON cur.s = a.s AND cur.v = e.dst WHERE cur.d IS NULL OR a.d + e.w < cur.d GROUP BY a.s, e.dst),
+tight AS (SELECT x.s, e.src AS u, e.dst AS v FROM down x JOIN flo e ON e.src = x.v JOIN down y ON y.s = x.s AND y.v = e.dst WHERE abs(x.d + e.w - y.d) <= 1e-10::DOUBLE * greatest(1.0::DOUBLE, y.d)),
+routes(s, v) AS (SELECT isolate_id, isolate_id FROM iso UNION ALL SELECT r.s, t.v FROM routes r JOIN tight t ON t.s = r.s AND t.u = r.v),
+sigma AS (SELECT s, v, count(*)::DOUBLE AS n FROM routes GROUP BY s, v),
+between AS (SELECT a.v AS isolate_id, sum(na.n * nb.n / nt.n) AS b FROM down a JOIN down b ON b.s = a.v JOIN down t ON t.s = a.s AND t.v = b.v
+  JOIN sigma na ON na.s = a.s AND na.v = a.v JOIN sigma nb ON nb.s = b.s AND nb.v = b.v JOIN sigma nt ON nt.s = t.s AND nt.v = t.v
+  WHERE a.s <> a.v AND b.v <> a.v AND abs(a.d + b.d - t.d) <= 1e-10::DOUBLE * greatest(1.0::DOUBLE, t.d) GROUP BY a.v),
+close AS (SELECT s AS isolate_id, (count(*) - 1) / sum(d) AS c FROM around GROUP BY s HAVING count(*) > 1),
+paths AS (SELECT isolate_id, coalesce(b, 0) AS betweenness, coalesce(c, 0) AS closeness FROM iso LEFT JOIN between USING (isolate_id) LEFT JOIN close USING (isolate_id))"""
+# an edge is in the forest if smaller edges do not link its ends
+FOREST = """numbered AS (SELECT *, row_number() OVER (ORDER BY composite_weight, src, dst) AS k FROM edges),
+two_ways AS (SELECT src AS a, dst AS b, k FROM numbered UNION ALL SELECT dst, src, k FROM numbered),
+linked(e, node) AS (SELECT k, src FROM numbered UNION SELECT l.e, t.b FROM linked l JOIN two_ways t ON t.a = l.node AND t.k < l.e),
+forest AS (SELECT n.* FROM numbered n WHERE NOT EXISTS (SELECT 1 FROM linked l WHERE l.e = n.k AND l.node = n.dst))"""
+
+
 def with_(parts: str, body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{parts}\n{body}"

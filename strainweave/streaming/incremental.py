@@ -56,6 +56,10 @@ def follow(spark: SparkSession, source: str, known: DataFrame, out: str, checkpo
     stream = spark.readStream.schema(MESSAGE).format(kind).option("maxFilesPerTrigger", files_per_batch).load(source)
 
     def step(batch: DataFrame, number: int) -> None:
+        with scope():
+            take(batch, number)
+
+    def take(batch: DataFrame, number: int) -> None:
         before = known
         if number:
             done = spark.read.schema(T.StructType([*known.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{out}/isolates").filter(F.col("batch") < number)

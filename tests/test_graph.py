@@ -276,10 +276,9 @@ def test_communities_are_as_good_as_a_sequential_run(spark, n, k, inner, outer):
 
 def test_spectral_blocks(spark):
     truth, iso, e = planted(spark)
-    got = {r.isolate_id: r.cluster for r in spectral.spectral(iso, e).collect()}
-    assert got["alone"] == "alone" and len({(got[n], truth[n]) for n in truth}) == 3
-    rounds = {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e, dense=4).collect()}
-    assert rounds == {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e).collect()}
+    dense = {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e).collect()}
+    assert dense["alone"] == ("alone", 1) and len({(dense[n][0], truth[n]) for n in truth}) == 3
+    assert {r.isolate_id: (r.cluster, r.k) for r in spectral.spectral(iso, e, dense=4).collect()} == dense
     inside = e.filter("composite_weight < 1")
     apart = {r.isolate_id: r.cluster for r in spectral.spectral(iso, inside, k=3).collect()}
     assert len({(apart[n], truth[n]) for n in truth}) == 3

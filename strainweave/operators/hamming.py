@@ -147,22 +147,29 @@ def check_sequences(seqs: DataFrame) -> None:
 def close_sequences(seqs: DataFrame, most: int) -> DataFrame:
     """(src, dst, d) of all pairs of sequences within `most` differences, src < dst; seqs has isolate_id and seq.
 
-    Sequences without masked places meet in bands; those with any are a query set against all, in blocks.
+    The sequence is cut into more bands than most + 1. Two sequences that are masked in few of them (at most `spare` each)
+    share a band that is whole in both and equal, and meet there by its hash; only ids travel, and the sequences are
+    fetched for pairs that met. Sequences masked in more bands are a query set against all, in blocks.
     """
     check_sequences(seqs)
-    s = seqs.select("isolate_id", F.upper("seq").alias("seq")).withColumn("masked", F.col("seq").rlike("[N-]"))
+    s = seqs.select("isolate_id", F.upper("seq").alias("seq"))
     size = s.agg(F.max(F.length("seq")).alias("n")).first()["n"]
-    bands = min(most + 1, size)
+    bands = min(4 * (most + 1), size)
+    spare = max(0, (bands - most - 1) // 2)
     cuts = [round(i * size / bands) for i in range(bands + 1)]
     parts = F.array(*[F.substring("seq", cuts[i] + 1, cuts[i + 1] - cuts[i]) for i in range(bands)])
-    banded = s.filter("not masked").select("isolate_id", "seq", F.posexplode(F.transform(parts, lambda x: F.xxhash64(x))).alias("band", "value"))
-    side = lambda t, p, *k: t.select(*k, F.col("isolate_id").alias(p), F.col("seq").alias(f"{p}_seq"))
-    plain = side(banded, "src", "band", "value").join(side(banded, "dst", "band", "value"), ["band", "value"]).filter("src < dst").dropDuplicates(["src", "dst"])
+    hashes = F.transform(parts, lambda x: F.when(~x.rlike("[N-]"), F.xxhash64(x)))
+    s = s.select("isolate_id", "seq", F.explode(F.array(hashes)).alias("hashes"))
+    s = cut(s.withColumn("masked", F.size(F.filter("hashes", lambda h: h.isNull())) > spare if bands > most else F.lit(True)), "sequences")
+    banded = s.filter("not masked").select("isolate_id", F.posexplode("hashes").alias("band", "value")).filter("value is not null")
+    side = lambda p: banded.select("band", "value", F.col("isolate_id").alias(p))
+    met = side("src").join(side("dst"), ["band", "value"]).filter("src < dst").select("src", "dst").distinct()
+    of = lambda p, *k: s.select(*k, F.col("isolate_id").alias(p), F.col("seq").alias(f"{p}_seq"))
+    plain = met.join(of("src"), "src").join(of("dst"), "dst").select("src", "dst", "src_seq", "dst_seq")
     m = s.filter("masked")
     blocks = max(1, -(-m.count() // BLOCK))
-    q = side(m, "a").withColumn("b", F.pmod(F.xxhash64("a"), F.lit(blocks)))
-    r = side(s, "o", "masked").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    q = of("a", "masked").filter("masked").drop("masked").withColumn("b", F.pmod(F.xxhash64("a"), F.lit(blocks)))
+    r = of("o", "masked").withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     # of two masked sequences the smaller one asks
     asked = r.join(q, "b").filter((F.col("a") != F.col("o")) & (~F.col("masked") | (F.col("a") < F.col("o")))).select(F.least("a", "o").alias("src"), F.greatest("a", "o").alias("dst"), F.col("a_seq").alias("src_seq"), F.col("o_seq").alias("dst_seq"))
-    both = plain.select("src", "dst", "src_seq", "dst_seq").unionByName(asked)
-    return both.select("src", "dst", sequence_distance(F.col("src_seq"), F.col("dst_seq")).alias("d")).filter(F.col("d") <= most)
+    return plain.unionByName(asked).select("src", "dst", sequence_distance(F.col("src_seq"), F.col("dst_seq")).alias("d")).filter(F.col("d") <= most)

@@ -69,21 +69,39 @@ def write_graphml(iso: DataFrame, edges: DataFrame, path: str, directed: bool =
     lines("</graph>", "</graphml>").write.mode("overwrite").text(f"{path}/4-end")
 
 
+def _plain(c: Column) -> Column:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """What the pattern's group holds, or null where it does not match."""
+    return F.when(text.rlike(pattern), _plain(F.regexp_extract(text, pattern, 1)))
+
+
 def load_graphml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(isolates, edges) of a GraphML file or of a folder as write_graphml leaves it; columns have the types of its keys."""
-    read = lambda tag, schema: spark.read.schema(schema).option("rowTag", tag).option("recursiveFileLookup", "true").xml(path)
-    data = "data array<struct<_VALUE: string, _key: string>>"
-    keys = read("key", "_id string, `_attr.name` string, `_attr.type` string, _for string").select("_id", F.col("`_attr.name`").alias("name"), F.col("`_attr.type`").alias("type"), F.col("_for").alias("kind")).distinct().orderBy("_id").collect()  # one a column
+    """(isolates, edges) of a GraphML file or of a folder as write_graphml leaves it; columns have the types of its keys.
+
+    Elements are cut at their opening tags, so they may span lines or close themselves. A file of another tool is taken as
+    it is; what follows its last node must fit a task.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/1-head")
+    own = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+    def elements(tag: str, part: str) -> DataFrame:
+        text = spark.read.option("lineSep", f"<{tag}").text(f"{path}/{part}" if own else path)
+        return text.filter(F.col("value").rlike(r"^\s")).select(F.regexp_extract("value", r"^([^>]*)>", 1).alias("tag"), F.regexp_extract("value", rf"(?s)^[^>]*[^/]>(.*?)</{tag}>", 1).alias("body"))
 
-    def value(key: str) -> Column:
-        return F.get(F.filter("data", lambda d: d["_key"] == key), F.lit(0))["_VALUE"]
+    attribute = lambda name: _found(F.col("tag"), rf'(?:^|\s){name}\s*=\s*"([^"]*)"')
+    keys = elements("key", "1-head").select(attribute("id").alias("id"), attribute(r"attr\.name").alias("name"), attribute(r"attr\.type").alias("type"), attribute("for").alias("kind")).collect()  # one a column
 
     def columns(kind: str) -> list[Column]:
-        return [value(k["_id"]).cast(_TYPES.get(k["type"], "string")).alias(k["name"]) for k in keys if k["kind"] in (kind, "all")]
+        data = lambda key: _found(F.col("body"), rf'(?s)<data key="\Q{key}\E">(.*?)</data>')
+        return [data(k["id"]).cast(_TYPES.get(k["type"], "string")).alias(k["name"]) for k in keys if k["kind"] in (kind, "all")]
 
-    nodes = read("node", f"_id string, {data}").select(F.col("_id").alias("isolate_id"), *columns("node"))
-    edges = read("edge", f"_source string, _target string, {data}").select(F.col("_source").alias("src"), F.col("_target").alias("dst"), *columns("edge"))
-    return nodes, edges
+    nodes = elements("node", "2-nodes").select(attribute("id").alias("isolate_id"), *columns("node"))
+    return nodes, elements("edge", "3-edges").select(attribute("source").alias("src"), attribute("target").alias("dst"), *columns("edge"))
 
 
 def cache_key(seqs: DataFrame) -> str:

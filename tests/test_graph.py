@@ -340,6 +340,21 @@ def test_sequences(spark):
     seqs = spark.createDataFrame([("A", "ACGTACGTACGT"), ("B", "acgtaagtacgt"), ("C", "TCGTACGTACGT"), ("D", "NNNNACGTACG-"), ("E", "TTTTTTTTTTTT")], "isolate_id string, seq string")
     got = {(r.src, r.dst): r.d for r in hamming.close_sequences(seqs, 2).collect()}
     assert got == {("A", "B"): 1, ("A", "C"): 1, ("A", "D"): 0, ("B", "C"): 2, ("B", "D"): 1, ("C", "D"): 0}
+    rng = random.Random(8)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(3)]
+    texts = {}
+    for i in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            t[rng.randrange(60)] = rng.choice("ACGT")
+        at = rng.randrange(50)
+        for k in range(at, min(60, at + rng.choice([0, 0, 3, 9, 40]))):
+            t[k] = rng.choice("N-")
+        texts[f"s{i:02d}"] = "".join(t)
+    apart = lambda x, y: sum(a != b and a not in "N-" and b not in "N-" for a, b in zip(x, y))
+    want = {(a, b): apart(x, y) for a, x in texts.items() for b, y in texts.items() if a < b and apart(x, y) <= 3}
+    got = {(r.src, r.dst): r.d for r in hamming.close_sequences(spark.createDataFrame(list(texts.items()), "isolate_id string, seq string"), 3).collect()}
+    assert got == want
     with pytest.raises(ValueError):
         hamming.check_sequences(spark.createDataFrame([("A", "AC"), ("B", "A")], "isolate_id string, seq string"))
     words = [(i, random.Random(i).getrandbits(64) - 2**63) for i in range(60)] + [(100, -1), (101, -2), (102, 0), (103, -(2**63))]

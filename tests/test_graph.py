@@ -317,11 +317,27 @@ def test_matching_and_consensus(spark):
             pick = consensus.best_matching(m)
             assert len(set(pick)) == shape[0] and sum(m[i, c] for i, c in enumerate(pick)) == max(sum(m[i, c] for i, c in enumerate(p)) for p in permutations(range(shape[1]), shape[0]))
     label = lambda d: spark.createDataFrame(list(d.items()), "isolate_id string, label long")
-    c = {r.isolate_id: (r.cluster_id, r.agreement_score, r.ambiguous) for r in consensus.consensus([label({"x": 0, "y": 0, "z": 1}), label({"x": 5, "y": 5, "z": 9})]).collect()}
-    assert c == {"x": (0, 1.0, False), "y": (0, 1.0, False), "z": (1, 1.0, False)}
-    a = {r.other: r.label for r in consensus.align_labels(label({"x": 7, "y": 8, "w": 9}).withColumn("g", F.lit(1)), label({"x": 3, "y": 3})).collect()}
+    c = {r.isolate_id: (r.cluster_id, r.agreement_score, r.ambiguous) for r in consensus.consensus([label({"p": 0, "q": 0, "r": 1, "s": 1}), label({"p": 7, "q": 7, "r": 2, "s": 2})]).collect()}
+    assert c == {"p": (0, 1.0, False), "q": (0, 1.0, False), "r": (1, 1.0, False), "s": (1, 1.0, False)}
+    a = {r.other: r.label for r in consensus.align_labels(label({"k": 7, "l": 8, "m": 9}).withColumn("g", F.lit(1)), label({"k": 3, "l": 3})).collect()}
     assert a in ({7: 3, 8: 4, 9: 5}, {8: 3, 7: 4, 9: 5})
-    assert abs(consensus.adjusted_rand(label({"a": 1, "b": 1, "c": 2}), label({"a": 4, "b": 4, "c": 5})).first().ari - 1) < 1e-12
+    assert abs(consensus.adjusted_rand(label({"k": 1, "l": 1, "m": 2, "n": 3}), label({"k": 8, "l": 8, "m": 4, "n": 6})).first().ari - 1) < 1e-12
+
+
+def test_labels_of_one_block_are_matched_for_the_largest_sum(spark):
+    from itertools import permutations
+
+    rng = random.Random(6)
+    rows = [(g, f"i{k:02d}", rng.randrange(4) + 10 * g, rng.randrange(4)) for g in (1, 2) for k in range(30)]
+    rows = [(g, i, o, next(r for h, j, _, r in rows if j == i)) for g, i, o, _ in rows]  # one reference label an isolate
+    other = spark.createDataFrame([(g, i, o) for g, i, o, _ in rows], "g int, isolate_id string, label long")
+    reference = spark.createDataFrame(sorted({(i, r) for _, i, _, r in rows}), "isolate_id string, label long")
+    got = {(r.g, r.other): r.label for r in consensus.align_labels(other, reference).collect()}
+    for g in (1, 2):
+        names = sorted({o for h, _, o, _ in rows if h == g})
+        kept = lambda to: sum(1 for h, _, o, r in rows if h == g and to[o] == r)  # noqa: E731, B023
+        assert kept({o: got[g, o] for o in names}) == max(kept(dict(zip(names, p))) for p in permutations(range(4), len(names)))
+        assert len({got[g, o] for o in names}) == len(names)
 
 
 def test_stability(spark):
@@ -337,7 +353,7 @@ def test_stability(spark):
 
 
 def test_sequences(spark):
-    seqs = spark.createDataFrame([("A", "ACGTACGTACGT"), ("B", "acgtaagtacgt"), ("C", "TCGTACGTACGT"), ("D", "NNNNACGTACG-"), ("E", "TTTTTTTTTTTT")], "isolate_id string, seq string")
+    seqs = spark.createDataFrame([("A", "GATTACAGATTA"), ("B", "gattccagatta"), ("C", "CATTACAGATTA"), ("D", "NNNNACAGATT-"), ("E", "CCCCCCCCCCCC")], "isolate_id string, seq string")
     got = {(r.src, r.dst): r.d for r in hamming.close_sequences(seqs, 2).collect()}
     assert got == {("A", "B"): 1, ("A", "C"): 1, ("A", "D"): 0, ("B", "C"): 2, ("B", "D"): 1, ("C", "D"): 0}
     rng = random.Random(8)

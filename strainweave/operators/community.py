@@ -246,24 +246,26 @@ def _solve_rounds(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     raise RuntimeError("communities still move")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, unit: int = UNIT, group: int = GROUP) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, unit: int = UNIT, group: int = GROUP, totals: DataFrame | None = None) -> DataFrame:
     """(g, node, community): community is the smallest node of each, a connected set.
 
     nodes (g, node), edges (g, src, dst, w) with w > 0, one row a pair; graphs (g, gamma), one row a graph, bounded by
     its nature (resolutions or replicates). Nodes without edges stay alone. In the result no move of a node or of a
     level's part to a neighbour raises the quality. unit and group only say how the work is done, not what comes out.
+    totals (g, two_m) has the strength of each whole graph where edges are only some of its components.
     """
     with scope() as keep:
-        return keep(_communities(nodes, edges, graphs, unit, group), "communities")
+        return keep(_communities(nodes, edges, graphs, unit, group, totals), "communities")
 
 
-def _communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, unit: int, group: int) -> DataFrame:
+def _communities(nodes: DataFrame, edges: DataFrame, graphs: DataFrame, unit: int, group: int, totals: DataFrame | None) -> DataFrame:
     base = edges.select("g", "src", "dst", "w").union(edges.select("g", "dst", "src", "w"))
     # components over all graphs: what one graph links lies in one of them
     comp = connected_components(edges.select(F.col("src").alias("node")), edges.select("src", "dst").distinct())
     paired = cut(base.join(comp.withColumnRenamed("node", "src"), "src").select(F.concat_ws("\u0001", F.col("g").cast("string"), "component").alias("unit"), "g", "src", "dst", "w"), "pairs")
     strength = paired.groupBy("unit", "g", F.col("src").alias("node")).agg(F.sum("w").alias("k"))
-    totals = strength.groupBy("g").agg(F.sum("k").alias("two_m")).join(graphs, "g").select("g", (F.col("gamma") / F.col("two_m")).alias("per_k"))
+    two_m = strength.groupBy("g").agg(F.sum("k").alias("two_m")) if totals is None else totals
+    totals = two_m.join(graphs, "g").select("g", (F.col("gamma") / F.col("two_m")).alias("per_k"))
     linked = cut(strength.join(F.broadcast(totals), "g").select("unit", "g", "node", "k", (F.col("per_k") * F.col("k")).alias("gk")), "strengths")  # one row a graph
     sizes = cut(paired.groupBy("unit").agg(F.count("*").alias("n")), "sizes")
     said = sizes.agg(F.count_if(F.col("n") > unit).alias("large"), F.coalesce(F.sum(F.when(F.col("n") <= unit, F.col("n"))), F.lit(0)).alias("pairs")).first()

@@ -80,7 +80,13 @@ def align_labels(other: DataFrame, reference: DataFrame) -> DataFrame:
         return keep(_align(other, reference), "aligned")
 
 
-def _align(other: DataFrame, reference: DataFrame) -> DataFrame:
+def matched_labels(other: DataFrame, reference: DataFrame) -> DataFrame:
+    """(g, other, ref): the labels of `other` that have a partner in that matching."""
+    with scope() as keep:
+        return keep(_matched(other, reference), "matched")
+
+
+def _matched(other: DataFrame, reference: DataFrame) -> DataFrame:
     table = cut(contingency(other, reference), "contingency")
     o = F.concat(F.col("g").cast("string"), F.lit("o"), F.col("other").cast("string"))
     r = F.concat(F.col("g").cast("string"), F.lit("r"), F.col("ref").cast("string"))
@@ -94,7 +100,11 @@ def _align(other: DataFrame, reference: DataFrame) -> DataFrame:
     hard = shape.filter("side > 1")
     packs = max(1, -(-(hard.agg(F.sum("cells")).first()[0] or 0) // GROUP))
     solved = keyed.join(hard.select("block"), "block", "left_semi").withColumn("pack", F.pmod(F.xxhash64("block"), F.lit(packs))).groupBy("pack").applyInPandas(_match_block, "g int, other bigint, ref bigint")
-    matched = cut(easy.unionByName(solved), "matched")
+    return easy.unionByName(solved)
+
+
+def _align(other: DataFrame, reference: DataFrame) -> DataFrame:
+    matched = cut(_matched(other, reference), "matched")
     labels = other.select("g", F.col("label").alias("other")).distinct()
     free = number_rows(labels.join(matched, ["g", "other"], "left_anti"), ["g", "other"], "__n")
     first = free.groupBy("g").agg(F.min("__n").alias("__first"))

@@ -340,8 +340,10 @@ def bootstrap_noise(spark: SparkSession, folder: str) -> DataFrame:
 @query("bootstrap_stability")
 def bootstrap_stability(spark: SparkSession, folder: str) -> DataFrame:
     """Stability of the chain clusters over all replicates."""
-    iso, _, c = _chains(spark, folder)
-    return bootstrap.bootstrap_stability(views.distances(spark, folder), iso, c, n_boot=REPLICATES)
+    iso = cut(views.isolates(spark, folder), "isolates")
+    pairs = cut(bootstrap.candidate_pairs(views.distances(spark, folder), iso, views.SNP_CUTOFF, views.DAY_CUTOFF), "candidates")
+    c = cut(chains.chain_clusters(iso, pairs.filter(F.col("d") <= views.SNP_CUTOFF)), "chains")  # the edges are candidates too
+    return bootstrap.stability(pairs, iso, c, REPLICATES)
 
 
 @query("mst_edges", q.with_(f"{q.EDGES},\n{q.FOREST}", "SELECT src, dst, round(composite_weight, 9) AS composite_weight, snp_distance, greatest(0.3::DOUBLE, 2.5::DOUBLE / greatest(1, snp_distance)) AS width FROM forest", True))

@@ -352,6 +352,53 @@ def test_stability(spark):
     assert all(r.n == r.m and abs(r.n) < 2 for r in n) and abs(sum(r.n for r in n) / 2000) < 0.1
 
 
+def stability_of_every_replicate(dist, iso, gold, n_boot, resolution=1.0):
+    """The scores from all replicates, each clustered and aligned as a whole."""
+    e = bootstrap.perturbed_edges(bootstrap.candidate_pairs(dist, iso, 20, 14), n_boot).select("g", "src", "dst", F.exp(-F.col("composite_weight")).alias("w"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("g")
+    graphs = iso.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("g"), F.lit(resolution).alias("gamma"))
+    found = community.communities(iso.select(each, F.col("isolate_id").alias("node")), e, graphs).toPandas()
+    found["label"] = found["community"].rank(method="dense").astype(int)
+    other = iso.sparkSession.createDataFrame(found.rename(columns={"node": "isolate_id"})[["g", "isolate_id", "label"]], "g int, isolate_id string, label long")
+    to = {(r.g, r.other): r.label for r in consensus.align_labels(other, gold.select("isolate_id", F.col("cluster_id").cast("bigint").alias("label"))).collect()}
+    truth = {r.isolate_id: r.cluster_id for r in gold.collect()}
+    hits = dict.fromkeys(truth, 0)
+    for g, i, label in found[["g", "node", "label"]].itertuples(index=False):
+        if i in truth:
+            hits[i] += to[g, label] == truth[i]
+    return {i: n / n_boot for i, n in hits.items()}
+
+
+def loose_outbreak(spark, sizes, seed):
+    """Distances, isolates and clusters: groups of the given sizes with close, uncertain and missing pairs; some clusters span or part groups."""
+    rng, names, pairs, gold = random.Random(seed), [], [], []
+    for k, n in enumerate(sizes):
+        own = [f"g{k:03d}_{i:02d}" for i in range(n)]
+        names += own
+        pairs += [(a, b, rng.uniform(1, 17) if rng.random() < 0.5 else rng.uniform(18, 22)) for a in own for b in own if a < b and rng.random() < 0.7]
+        gold += [(i, 1000 if rng.random() < 0.02 else 2 * k + (rng.random() < 0.2)) for i in own]
+    days = [(i, date(2024, 1, 1) + timedelta(rng.randrange(15)), f"ST{rng.randrange(3)}") for i in names]
+    gold = [*gold[1:], ("unknown", 3)]  # an isolate without cluster, and a cluster's member without metadata
+    return spark.createDataFrame(pairs, "src string, dst string, d double"), spark.createDataFrame(days, "isolate_id string, collection_date date, sequence_type string"), spark.createDataFrame(gold, "isolate_id string, cluster_id int")
+
+
+def test_stability_counts_every_replicate(spark, monkeypatch):
+    tables = loose_outbreak(spark, [1, 2, 2, 3, 3, 4, 5, 6, 14], 3)
+    want = stability_of_every_replicate(*tables, 12)
+    got = lambda: {r.isolate_id: r.stability_score for r in bootstrap.bootstrap_stability(*tables, n_boot=12).collect()}
+    assert got() == want and len(set(want.values())) > 3 and want["unknown"] == 0
+    monkeypatch.setattr(bootstrap, "FEW", 0)  # every replicate of a unit with cross pairs apart
+    assert got() == want
+
+
+def test_stability_searches_no_communities_in_small_components(spark, monkeypatch):
+    tables = loose_outbreak(spark, [2, 3, 4, 5] * 30, 4)
+    want = stability_of_every_replicate(*tables, 6)
+    monkeypatch.setattr(bootstrap, "communities", None)
+    assert {r.isolate_id: r.stability_score for r in bootstrap.bootstrap_stability(*tables, n_boot=6).collect()} == want
+    assert len(set(want.values())) > 3
+
+
 def test_sequences(spark):
     seqs = spark.createDataFrame([("A", "GATTACAGATTA"), ("B", "gattccagatta"), ("C", "CATTACAGATTA"), ("D", "NNNNACAGATT-"), ("E", "CCCCCCCCCCCC")], "isolate_id string, seq string")
     got = {(r.src, r.dst): r.d for r in hamming.close_sequences(seqs, 2).collect()}
